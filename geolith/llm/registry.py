@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, quality_rules, sharding, simhash
+from . import chat_format, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_chat_format": chat_format.op7_chat_format,
@@ -14,6 +16,8 @@ QUERIES = {
 
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
 }
