@@ -1,10 +1,74 @@
-"""The corpus pipeline: five stages over ``documents``, each the whole of what the one before kept."""
+"""The corpus pipeline: five stages over ``documents``, each the whole of what the one before kept.
+
+Each stage takes (spark, docs, sf_dir), applies one operator of ``geolith.llm`` and lets its decision take effect; all but the last
+return the columns of documents. ``run`` writes each stage as Parquet under the checkpoint folder and reads it as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geolith.llm import mixing, packing, quality_model, simhash, substring_dedup
+from geolith.llm.common import checkpoint_root, table
+
+#: SQL has neither boosted trees nor these hashes; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at its threshold or over stay; the others go."""
+    scored = quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("g_score") >= quality_model.THRESHOLD).drop("g_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of five-word-shingle SimHashes, the document with the smallest doc_id stays, once.
+
+    Documents without a doc_id have no place in that order and stay; those without a word are no copies of each other and stay.
+    """
+    counted = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").where(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "")
+    classes = simhash.near_classes_wide(counted.select("doc_id", "text"))
+    gone = classes.groupBy("doc_id").agg(F.min("component_id").alias("g_first")).where("doc_id > g_first").select(F.col("doc_id").alias("g_id"))
+    kept = docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti")
+    return kept.dropDuplicates()
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 50 that a smaller doc_id has too are cut; a text that loses none stays as it is."""
+    cut = substring_dedup.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in the order of its training positions."""
+    keyed = docs.withColumn("g_key", F.xxhash64("text", "source"))
+    mixed = mixing.mix(keyed, ["g_key"]).where("epochs > 0").groupBy("doc_id", "g_key").agg(F.max("positions").alias("g_positions")).withColumnRenamed("doc_id", "g_id").withColumnRenamed("g_key", "g_text")
+    taken = keyed.join(mixed, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("g_key") == F.col("g_text")))
+    return taken.select(*docs.columns, F.explode("g_positions").alias("g_position")).orderBy("g_position", "doc_id").select(docs.columns)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("substring dedup", substrings),
+    ("mixing sources", mixture),
+    ("best-fit packing", best_fit),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs

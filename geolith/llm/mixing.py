@@ -55,9 +55,10 @@ def demand_inverse(y: Column, ending: Column) -> Column:
     return F.when(c == 0, y).otherwise((F.sqrt(a * a + 4 * c * y) - a) / (2 * c))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """Every document with what the mix takes of it: doc_id, source, size, source_size, target, taken, epochs, positions."""
-    sizes = cut(docs.select("doc_id", "source", F.size(words(text_or_empty())).cast("long").alias("size")))
+def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Every document with what the mix takes of it: doc_id, source, size, source_size, target, taken, epochs, positions, and the columns named in carry."""
+    carry = carry or []
+    sizes = cut(docs.select("doc_id", "source", *carry, F.size(words(text_or_empty())).cast("long").alias("size")))
     targets = source_targets(sizes).withColumnRenamed("source", "s")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = sizes.withColumn("at", order).withColumn("run", F.substring("at", 1, RUN_DIGITS))
@@ -71,10 +72,10 @@ def mix(docs: DataFrame) -> DataFrame:
     rest = F.col("target") - full * F.col("source_size")
     extra = F.when((full < MAX_EPOCHS) & (F.col("size") > 0) & (offset + F.col("size") / 2 <= rest), 1).otherwise(0)
     epochs = F.when(F.col("size") > 0, full + extra).otherwise(F.lit(0)).cast("int")
-    mixed = placed.select("doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), offset.alias("offset"), "ending")
+    mixed = placed.select("doc_id", *carry, "source", "size", "source_size", "target", epochs.alias("epochs"), offset.alias("offset"), "ending")
     times = F.when(F.col("target") > 0, F.transform(F.sequence(F.lit(1), F.col("epochs")), lambda k: demand_inverse(F.least(F.lit(1.0), ((k - 1) * F.col("source_size") + F.col("offset")) / F.col("target")), F.col("ending"))))
     positions = F.when(F.col("epochs") > 0, times).otherwise(F.array().cast("array<double>"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs")).cast("long").alias("taken"), "epochs", positions.alias("positions"))
+    return mixed.select("doc_id", *carry, "source", "size", "source_size", "target", (F.col("size") * F.col("epochs")).cast("long").alias("taken"), "epochs", positions.alias("positions"))
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
