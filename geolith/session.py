@@ -36,3 +36,11 @@ def shipped(f: Callable) -> Callable:
         return f(spark, sf_dir)
 
     return run
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate files: below the shared folder that ``spark.checkpoint.dir`` names, else (tests) a local one."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geolith-scratch-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
