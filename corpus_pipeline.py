@@ -6,24 +6,38 @@ return the columns of documents. ``run`` writes each stage as Parquet under the
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.llm import mixing, packing, quality_model, simhash, substring_dedup
-from geolith.llm.common import checkpoint_root, table
+from geolith.llm.common import checkpoint_root, shielded, table, unshielded
 
 #: SQL has neither boosted trees nor these hashes; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
+def stage(f):
+    """Columns of docs that begin like those that stages add for themselves are out of their way meanwhile."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        docs, names = shielded(docs)
+        return unshielded(f(spark, docs, sf_dir), names)
+
+    return run
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at its threshold or over stay; the others go."""
     scored = quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
     return scored.where(F.col("g_score") >= quality_model.THRESHOLD).drop("g_score")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of five-word-shingle SimHashes, the document with the smallest doc_id stays, once.
 
@@ -36,6 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.dropDuplicates()
 
 
+@stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 50 that a smaller doc_id has too are cut; a text that loses none stays as it is."""
     cut = substring_dedup.remove_repeats(docs)
@@ -43,6 +58,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in the order of its training positions."""
     keyed = docs.withColumn("g_key", F.xxhash64("text", "source"))
@@ -51,6 +67,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.select(*docs.columns, F.explode("g_positions").alias("g_position")).orderBy("g_position", "doc_id").select(docs.columns)
 
 
+@stage
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
     return packing.pack(docs)
@@ -68,7 +85,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+    for i, (_, step) in enumerate(STAGES):
+        step(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
     return docs

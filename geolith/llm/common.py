@@ -47,17 +47,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK_RE), lambda w: w != "")
 
 
-def copy_classes(docs: DataFrame) -> DataFrame:
-    """One row per distinct (doc_id) with ``first_id``, the smallest doc_id of the same whole text.
+def shielded(docs: DataFrame, added: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """docs without columns named as ``added`` ones (those replace them), and with columns that begin like ours (``g_``) under other names.
 
-    Texts meet through a 128-bit hash and their length, pre-aggregated before the shuffle, so a text
-    that a third of the documents share costs one row a task.
+    The second value tells what ``unshielded`` gives back.
     """
-    keyed = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("k1"),
-        F.xxhash64(F.lit(7), F.col("text"), F.lit("x")).alias("k2"),
-        F.octet_length("text").alias("k3"),
-    )
-    first = keyed.groupBy("k1", "k2", "k3").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    return keyed.join(first.where("copies > 1"), ["k1", "k2", "k3"]).select("doc_id", "first_id")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    names = {c: f"own{i}_{c}" for i, c in enumerate(docs.columns) if c.lower().startswith("g_")}
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
+def unshielded(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.withColumnsRenamed(names)

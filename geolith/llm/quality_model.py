@@ -101,12 +101,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     rows = sorted((r["doc_id"], r["quality"], tuple(r["x"])) for r in training_rows(docs, labels, sample).limit(2 * sample).collect())
-    x = np.array([r[2] for r in rows]).reshape(len(rows), -1)
+    x = np.array([r[2] for r in rows]) if rows else np.zeros((0, 0))
     return fit(x, np.array([r[1] for r in rows], float))
 
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs with g_score, a double from 0 to 1."""
+    """docs with g_score, a double from 0 to 1 (a column of that name is replaced)."""
+    docs = docs.drop("g_score")
     schema = extended(docs.schema, (), "g_score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
