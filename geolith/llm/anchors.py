@@ -188,9 +188,41 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def rows_of(lists: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """An array column: ``lists`` cut at ``starts``."""
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(lists)).astype(np.int32)), pa.array(lists, kind))
+def dealt(doc: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Numbers (of 32 bits) about documents, packed: a row per bucket of doc_ids."""
+    bucket = ((mix(doc.view(np.uint64)) >> _U(48)) * _U(buckets) >> _U(16)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    starts = runs(bucket[order])
+    cuts = list(zip(starts, np.append(starts[1:], len(order)), strict=True))
+    out = [pa.array([int(bucket[order[a]]) for a, _ in cuts], pa.int32()), pa.array([pack_ids(doc[order[a:b]]) for a, b in cuts], pa.binary())]
+    out += [pa.array([pack(c[order[a:b]].astype("<u4")) for a, b in cuts], pa.binary()) for c in columns.values()]
+    return pa.RecordBatch.from_arrays(out, ["bucket", "doc", *columns])
+
+
+def gathered(packed: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``dealt`` -> g_id and the columns' numbers (binary, 32 bits each): one row per document."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(unpack_ids(doc), [unpack(c, "<u4") for c in rest]) for b in batches for _, doc, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if not held:
+            return
+        doc = np.concatenate([d for d, _ in held])
+        order = np.argsort(doc, kind="stable")
+        doc = doc[order]
+        values = [np.concatenate([c[i] for _, c in held])[order].astype("<u4") for i in range(len(columns))]
+        starts = runs(doc)
+        for a in range(0, len(starts), 10_000):
+            part = np.append(starts[a : a + 10_000], starts[a + 10_000] if a + 10_000 < len(starts) else len(doc))
+            at = pa.py_buffer(((part - part[0]) * 4).astype(np.int32).tobytes())
+            lists = [pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, at, pa.py_buffer(v[part[0] : part[-1]].tobytes())]) for v in values]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part[:-1]]), *lists], ["g_id", *columns])
+
+    ddl = ", ".join(f"{c} binary" for c in columns)
+    return packed.select("bucket", "doc", *columns).repartition("bucket").mapInArrow(gather, f"g_id long, {ddl}")
+
+
+def numbers(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), "<u4").astype(np.int64)
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -223,7 +255,7 @@ def is_copy(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def repeated_anchors(docs: DataFrame, k: int, length: int, words: bool) -> DataFrame:
-    """docs as of with_copies -> g_id, g_at: positions of anchors of first copies that occur in two documents or more."""
+    """docs as of with_copies -> g_id, g_at: positions (32 bits each) of anchors of first copies that occur in two documents or more."""
     spark = docs.sparkSession
     buckets = min(1 << 16, 4 * partitions(spark))
 
@@ -273,18 +305,11 @@ def repeated_anchors(docs: DataFrame, k: int, length: int, words: bool) -> DataF
         starts = runs(key)
         shared = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         kept = np.repeat(shared, np.diff(np.append(starts, len(key))))
-        doc, place = doc[kept], place[kept]
-        order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], place[order].astype(np.int32)
-        starts = runs(doc)
-        for a in range(0, len(starts), 20000):
-            part = starts[a : a + 20000]
-            end = starts[a + 20000] if a + 20000 < len(starts) else len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), rows_of(place[part[0] : end], part - part[0], pa.int32())], ["g_id", "g_at"])
+        if kept.any():
+            yield dealt(doc[kept], {"g_at": place[kept]}, buckets)
 
     packed = docs.mapInArrow(scan, "bucket int, key binary, doc binary, place binary")
-    found = packed.repartition("bucket").mapInArrow(meet, "g_id long, g_at array<int>")
-    return found.groupBy("g_id").agg(F.flatten(F.collect_list("g_at")).alias("g_at"))
+    return gathered(packed.repartition("bucket").mapInArrow(meet, "bucket int, doc binary, g_at binary"), ["g_at"])
 
 
 def extended(schema: T.StructType, drop: tuple[str, ...], more: str) -> T.StructType:

@@ -8,7 +8,7 @@ so a passage in a third of the documents is no bottleneck. Whole texts that a sm
 
 Defined results: a null or empty text has no words; texts under ``length`` words keep all; rows with a null doc_id keep all and
 remove nothing elsewhere; rows that repeat a doc_id never remove from one another; an empty table gives no rows; columns of
-documents pass through under their own names, and the added ones are n_words, n_removed, n_spans and kept.
+documents pass through under their own names, but for those named as the added ones: n_words, n_removed, n_spans and kept.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Powers, copies, extended, is_copy, repeated_anchors, rolling, text_bytes, tokens, with_copies
-from .common import table
+from .anchors import Powers, copies, extended, is_copy, numbers, repeated_anchors, rolling, text_bytes, tokens, with_copies
+from .common import shielded, table, unshielded
 
 LENGTH = 50
 ANCHOR = 8
@@ -57,7 +57,7 @@ def _candidates(docs: DataFrame, length: int, k: int) -> DataFrame:
                     if n < 1:
                         continue
                     mark = np.zeros(n + 1, np.int32)
-                    p = anchors[int(row)].values.to_numpy().astype(np.int64)
+                    p = numbers(anchors[int(row)])
                     p = p[p <= len(v) - k]
                     np.add.at(mark, np.minimum(np.maximum(p - length + k, 0), n), 1)
                     np.add.at(mark, np.minimum(p + 1, n), -1)
@@ -74,6 +74,7 @@ def _candidates(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """docs with n_words, n_removed, n_spans and kept (the kept words joined by a space)."""
+    docs, names = shielded(docs, ("n_words", "n_removed", "n_spans", "kept"))
     copied = copies(docs)
     texts = with_copies(docs, copied)
     anchors = repeated_anchors(texts, k, length, words=True)
@@ -102,7 +103,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
             passed = [batch.column(f.name) for f in schema.fields[:-4]]
             yield pa.RecordBatch.from_arrays([*passed, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return unshielded(joined.mapInArrow(cut, schema), names)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

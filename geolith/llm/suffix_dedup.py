@@ -11,7 +11,7 @@ Whole texts that a smaller doc_id has are settled by 128 bits of text hash and t
 
 Defined results: a null text is empty; texts under ``length`` bytes keep all; rows with a null doc_id keep all and remove nothing
 elsewhere; rows that repeat a doc_id never remove from one another; an empty table gives no rows; columns of documents pass
-through under their own names, and the added ones are n_bytes, n_removed, n_spans and kept (binary).
+through under their own names, but for those named as the added ones: n_bytes, n_removed, n_spans and kept (binary).
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import copies, extended, is_copy, mix, pack, pack_ids, repeated_anchors, runs, text_bytes, unpack, unpack_ids, with_copies
+from .anchors import copies, dealt, extended, gathered, is_copy, mix, numbers, pack, pack_ids, repeated_anchors, runs, text_bytes, unpack, unpack_ids, with_copies
 from .anchors import _BYTE as BYTE_VALUES
-from .common import partitions, table
+from .common import partitions, shielded, table, unshielded
 from .substring_dedup import intervals
 from .suffix_array import permuted_prefixes, suffix_array
 
@@ -64,11 +64,10 @@ def _contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
                 continue
             ids, tags = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("g_tag").to_numpy()
             for part in np.array_split(valid, len(valid) // 512 + 1):
-                chosen = anchors.take(pa.array(part))
+                chosen = [numbers(anchors[int(i)]) for i in part]
                 buf, at = text_bytes(batch.column("g_text").take(pa.array(part)))
-                count = np.diff(chosen.offsets.to_numpy())
-                doc = np.repeat(np.arange(len(part)), count)
-                place = chosen.flatten().to_numpy().astype(np.int64)
+                doc = np.repeat(np.arange(len(part)), [len(c) for c in chosen])
+                place = np.concatenate(chosen)
                 fits = place + k <= np.diff(at)[doc]  # positions of another text of the same doc_id may not
                 doc, place = doc[fits], place[fits]
                 for a in range(0, len(doc), 1 << 15):
@@ -80,7 +79,7 @@ def _contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
                     wide = buf[np.minimum((at[d] + lo)[:, None] + np.arange(width), len(buf) - 1)]
                     grams = (at[d] + p)[:, None] + np.arange(k)
                     key = _gram_keys(buf[grams])
-                    held.append((key, ids[part][d].astype(np.int64), tags[part][d].astype("<i8"), p, (p - lo).astype(np.uint8), (hi - lo).astype(np.uint8), wide))
+                    held.append((key, ids[part][d].astype(np.int64), (tags[part][d] & 0xFFFFFFFF).astype("<u4"), p, (p - lo).astype(np.uint8), (hi - lo).astype(np.uint8), wide))
                     n += len(d)
                     if n > 1 << 19:
                         yield from emit(held)
@@ -141,8 +140,9 @@ def shard_marks(doc: np.ndarray, left: np.ndarray, size: np.ndarray, wide: np.nd
 
 
 def _decide(packed: DataFrame, length: int, k: int) -> DataFrame:
-    """g_id, g_marks: (text hash, anchor position, bits of the runs to remove)."""
+    """g_id and, for each context with something to remove, lower text hash, anchor position and bits of the runs (32 bits each)."""
     reach, width = length - k, 2 * length - k
+    buckets = min(1 << 16, 4 * partitions(packed.sparkSession))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
@@ -151,7 +151,7 @@ def _decide(packed: DataFrame, length: int, k: int) -> DataFrame:
                 parts.setdefault(row["bucket"], []).append(row)
         while parts:
             rows = parts.popitem()[1]
-            key, tag, place = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("key", "<u8"), ("tag", "<i8"), ("place", "<u4")))
+            key, tag, place = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("key", "<u8"), ("tag", "<u4"), ("place", "<u4")))
             doc = np.concatenate([unpack_ids(r["doc"]) for r in rows])
             left, size = (np.concatenate([np.frombuffer(r[n], np.uint8) for r in rows]) for n in ("left", "size"))
             data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
@@ -170,34 +170,30 @@ def _decide(packed: DataFrame, length: int, k: int) -> DataFrame:
                 marks = shard_marks(doc[o], left[o], size[o], wide, length, reach)
                 o, marks = o[marks > 0], marks[marks > 0]
                 if len(o):
-                    o2 = np.argsort(doc[o], kind="stable")
-                    o, marks = o[o2], marks[o2]
-                    first = runs(doc[o])
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[o[first]]), rows_of_marks(tag[o], place[o], marks, first)], ["g_id", "g_marks"])
+                    yield dealt(doc[o], {"g_tag_low": tag[o], "g_place": place[o], "g_bits": marks}, buckets)
 
-    solved = packed.repartition("bucket").mapInArrow(solve, "g_id long, g_marks array<struct<tag:long,place:int,bits:long>>")
-    return solved.groupBy("g_id").agg(F.flatten(F.collect_list("g_marks")).alias("g_marks"))
-
-
-def rows_of_marks(tag: np.ndarray, place: np.ndarray, bits: np.ndarray, first: np.ndarray) -> pa.Array:
-    values = pa.StructArray.from_arrays([pa.array(tag), pa.array(place.astype(np.int32)), pa.array(bits)], ["tag", "place", "bits"])
-    return pa.ListArray.from_arrays(pa.array(np.append(first, len(tag)).astype(np.int32)), values)
+    solved = packed.repartition("bucket").mapInArrow(solve, "bucket int, doc binary, g_tag_low binary, g_place binary, g_bits binary")
+    return gathered(solved, ["g_tag_low", "g_place", "g_bits"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept."""
+    """docs with n_bytes, n_removed, n_spans and kept; runs that hold an anchor must number 32 or fewer."""
+    if length - k > 31:
+        raise ValueError("length - k is over 31")
+    docs, names = shielded(docs, ("n_bytes", "n_removed", "n_spans", "kept"))
     copied = copies(docs)
     texts = with_copies(docs, copied)
     anchors = repeated_anchors(texts, k, length, words=False)
     packed = _contexts(texts.join(anchors, F.col("doc_id") == F.col("g_id"), "left").drop("g_id"), length, k)
     marks = _decide(packed, length, k)
     joined = texts.join(marks, F.col("doc_id") == F.col("g_id"), "left").drop("g_id")
-    schema = extended(joined.schema, ("g_text", "g_tag", "g_copies", "g_marks"), "n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = extended(joined.schema, ("g_text", "g_tag", "g_copies", "g_tag_low", "g_place", "g_bits"), "n_bytes long, n_removed long, n_spans long, kept binary")
     reach = length - k
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            skip, marks, tags = is_copy(batch), batch.column("g_marks"), batch.column("g_tag").to_numpy()
+            skip, tags = is_copy(batch), batch.column("g_tag").to_numpy() & 0xFFFFFFFF
+            low, places, marks = (batch.column(c) for c in ("g_tag_low", "g_place", "g_bits"))
             out = []
             for i, text in enumerate(batch.column("g_text")):
                 raw = text.as_buffer().to_pybytes()
@@ -207,9 +203,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
                 if not marks[i].is_valid:
                     out.append((len(raw), 0, 0, raw))
                     continue
-                own = marks[i].values
-                mine = own.field("tag").to_numpy() == tags[i]
-                place, bits = own.field("place").to_numpy()[mine].astype(np.int64), own.field("bits").to_numpy()[mine]
+                mine = numbers(low[i]) == tags[i]
+                place, bits = numbers(places[i])[mine], numbers(marks[i])[mine]
                 row, bit = np.nonzero((bits[:, None] >> np.arange(reach + 1)) & 1)
                 a, b = intervals(place[row] - reach + bit, length)
                 edges = [0, *(int(x) for ab in zip(a, b, strict=True) for x in ab), len(raw)]
@@ -218,7 +213,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
             passed = [batch.column(f.name) for f in schema.fields[:-4]]
             yield pa.RecordBatch.from_arrays([*passed, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return unshielded(joined.mapInArrow(cut, schema), names)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
