@@ -63,10 +63,18 @@ def options_of(a: argparse.Namespace):
     return Options(width=width, height=height, max_dimension=a.max_dimension, bounds=parse_bounds(a.bbox) if a.bbox else None, projection=parse_projection(a.projection or "auto"), base=style)
 
 
-def run(args: list[str], spark=None, out=sys.stdout, err=sys.stderr) -> int:
+def run(args: list[str], spark=None, out=None, err=None) -> int:
     """0: done; 1: bad data or no such file; 2: wrong usage."""
+    out, err = out or sys.stdout, err or sys.stderr
+    p, joined = parser(), []
+    valued = {o for x in p._actions if x.nargs is None and x.option_strings for o in x.option_strings}
+    for x in args:  # a value may begin with a minus
+        if joined and joined[-1] in valued and not x.startswith("--"):
+            joined[-1] += f"={x}"
+        else:
+            joined.append(x)
     try:
-        a = parser().parse_args(args)
+        a = p.parse_args(joined)
     except SystemExit as e:
         return 0 if e.code == 0 else 2
     if a.list:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import model
@@ -30,17 +31,17 @@ def st_geomfromgeojson(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else geom_row(geojson.parse(geojson.load(t.encode()))) for t in text.to_pylist()], _ARROW)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def st_astext(geom: pa.Array) -> pa.Array:
     return pa.array([None if g is None else wkt.dump(geom_of(g)) for g in geom.to_pylist()], pa.string())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def st_asbinary(geom: pa.Array) -> pa.Array:
     return pa.array([None if g is None else wkb.dump(geom_of(g)) for g in geom.to_pylist()], pa.binary())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def st_asgeojson(geom: pa.Array) -> pa.Array:
     import json
 

@@ -26,8 +26,32 @@ LAYER = f"source_file string, layer_ord array<int>, name string, props {PROPERTI
 TYPES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")
 
 
+_PLAIN = {"string": T.StringType, "double": T.DoubleType, "int": T.IntegerType, "bigint": T.LongType, "long": T.LongType, "binary": T.BinaryType, "boolean": T.BooleanType}
+
+
+def _split(text: str) -> list[str]:
+    """Parts between the commas outside of brackets."""
+    parts, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            parts.append(text[start:i])
+            start = i + 1
+    return [p.strip() for p in [*parts, text[start:]]]
+
+
+def data_type(text: str) -> T.DataType:
+    """The type that a DDL string names. Needs no session, so tasks can call it."""
+    kind, _, inner = text.strip().partition("<")
+    if kind == "array":
+        return T.ArrayType(data_type(inner[:-1]))
+    if kind == "struct":
+        return T.StructType([T.StructField(n.strip(), data_type(t)) for n, _, t in (f.partition(":") for f in _split(inner[:-1]))])
+    return _PLAIN[kind.lower()]()
+
+
 def schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+    return T.StructType([T.StructField(n, data_type(t)) for n, _, t in (f.partition(" ") for f in _split(ddl))])
 
 
 def _double(c: Column | float | None) -> Column:

@@ -17,7 +17,7 @@ def watch(spark: SparkSession, folder: str, fmt: str, max_files: int = 100) -> D
 
     schema = model.schema(model.FEATURE)
     arrow = to_arrow_schema(schema)
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files).load(folder)
 
     def run(batches):
         for b in batches:
