@@ -257,7 +257,7 @@ def is_copy(batch: pa.RecordBatch) -> np.ndarray:
 def repeated_anchors(docs: DataFrame, k: int, length: int, words: bool) -> DataFrame:
     """docs as of with_copies -> g_id, g_at: positions (32 bits each) of anchors of first copies that occur in two documents or more."""
     spark = docs.sparkSession
-    buckets = min(1 << 16, 4 * partitions(spark))
+    buckets, document_buckets = min(1 << 16, 2 * partitions(spark)), min(1 << 16, partitions(spark))
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -306,7 +306,7 @@ def repeated_anchors(docs: DataFrame, k: int, length: int, words: bool) -> DataF
         shared = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         kept = np.repeat(shared, np.diff(np.append(starts, len(key))))
         if kept.any():
-            yield dealt(doc[kept], {"g_at": place[kept]}, buckets)
+            yield dealt(doc[kept], {"g_at": place[kept]}, document_buckets)
 
     packed = docs.mapInArrow(scan, "bucket int, key binary, doc binary, place binary")
     return gathered(packed.repartition("bucket").mapInArrow(meet, "bucket int, doc binary, g_at binary"), ["g_at"])

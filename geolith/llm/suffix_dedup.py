@@ -37,7 +37,7 @@ SHARD = 1 << 21
 
 def _contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Packed contexts of repeated anchors, a row per (task, bucket)."""
-    buckets = min(1 << 16, 4 * partitions(docs.sparkSession))
+    buckets = min(1 << 16, 2 * partitions(docs.sparkSession))
     reach, width = length - k, 2 * length - k
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
@@ -142,13 +142,14 @@ def shard_marks(doc: np.ndarray, left: np.ndarray, size: np.ndarray, wide: np.nd
 def _decide(packed: DataFrame, length: int, k: int) -> DataFrame:
     """g_id and, for each context with something to remove, lower text hash, anchor position and bits of the runs (32 bits each)."""
     reach, width = length - k, 2 * length - k
-    buckets = min(1 << 16, 4 * partitions(packed.sparkSession))
+    buckets = min(1 << 16, partitions(packed.sparkSession))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 parts.setdefault(row["bucket"], []).append(row)
+        found: list[tuple] = []
         while parts:
             rows = parts.popitem()[1]
             key, tag, place = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("key", "<u8"), ("tag", "<u4"), ("place", "<u4")))
@@ -170,7 +171,10 @@ def _decide(packed: DataFrame, length: int, k: int) -> DataFrame:
                 marks = shard_marks(doc[o], left[o], size[o], wide, length, reach)
                 o, marks = o[marks > 0], marks[marks > 0]
                 if len(o):
-                    yield dealt(doc[o], {"g_tag_low": tag[o], "g_place": place[o], "g_bits": marks}, buckets)
+                    found.append((doc[o], tag[o], place[o], marks.astype(np.uint32)))
+        if found:  # 20 bytes a mark, once per task, so that rows are as many as (task, bucket) pairs
+            doc, tag, place, marks = map(np.concatenate, zip(*found, strict=True))
+            yield dealt(doc, {"g_tag_low": tag, "g_place": place, "g_bits": marks}, buckets)
 
     solved = packed.repartition("bucket").mapInArrow(solve, "bucket int, doc binary, g_tag_low binary, g_place binary, g_bits binary")
     return gathered(solved, ["g_tag_low", "g_place", "g_bits"])
