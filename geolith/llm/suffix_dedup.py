@@ -43,14 +43,14 @@ def _contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         key, doc, tag, place, left, size, wide = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        order = np.argsort(key, kind="stable")  # equal anchors, and so like contexts, side by side: they compress
         bucket = ((key >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
-        order = np.argsort(bucket, kind="stable")
         starts = runs(bucket[order])
         inside = np.arange(width) < size[:, None]
         rows = []
         for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
             o = order[a:b]
-            rows.append((int(bucket[o[0]]), pack(key[o]), pack_ids(doc[o]), pack(tag[o]), pack(place[o].astype("<u4")), left[o].tobytes(), size[o].tobytes(), wide[o][inside[o]].tobytes()))
+            rows.append((int(bucket[o[0]]), pack(key[o]), pack_ids(doc[o]), pack(tag[o]), pack(place[o].astype("<u4")), left[o].tobytes(), size[o].tobytes(), pa.compress(wide[o][inside[o]].tobytes(), "zstd", asbytes=True)))
         names = ["bucket", "key", "doc", "tag", "place", "left", "size", "bytes"]
         for i in range(0, len(rows), 32):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "bucket" else pa.binary()) for n, c in zip(names, zip(*rows[i : i + 32], strict=True), strict=True)], names)
@@ -155,7 +155,7 @@ def _decide(packed: DataFrame, length: int, k: int) -> DataFrame:
             key, tag, place = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("key", "<u8"), ("tag", "<u4"), ("place", "<u4")))
             doc = np.concatenate([unpack_ids(r["doc"]) for r in rows])
             left, size = (np.concatenate([np.frombuffer(r[n], np.uint8) for r in rows]) for n in ("left", "size"))
-            data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
+            data = np.concatenate([np.frombuffer(pa.decompress(r["bytes"], int(np.frombuffer(r["size"], np.uint8).sum()), "zstd", asbytes=True), np.uint8) for r in rows])
             begin = np.cumsum(size.astype(np.int64)) - size
             rows = None
             order = np.argsort(key, kind="stable")
