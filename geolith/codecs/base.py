@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -228,12 +229,13 @@ def geom_of(row: dict | None) -> Geom | None:
     return build(row["members"], 0)
 
 
-def feature_rows(layer: Layer, source: str) -> list[dict]:
+def feature_rows(layer: Layer, source: str, geom: Callable = geom_row) -> list[dict]:
+    """Rows of the features in walking order; geom gives a geometry's form in them."""
     rows: list[dict] = []
 
     def add(x: Layer, path: list[str], order: list[int]) -> None:
         for f in x.features:
-            rows.append({"source_file": source, "layer_path": path, "layer_ord": order, "seq": len(rows), "id": None if f.id is None else tag(f.id), "props": props_rows(f.props), "geom": geom_row(f.geom)})
+            rows.append({"source_file": source, "layer_path": path, "layer_ord": order, "seq": len(rows), "id": None if f.id is None else tag(f.id), "props": props_rows(f.props), "geom": geom(f.geom)})
         for i, child in enumerate(x.children):
             add(child, [*path, child.name or ""], [*order, i])
 
@@ -266,7 +268,7 @@ def layer_of(rows: list[dict], layers: list[dict] = ()) -> Layer:
         for depth, name in enumerate((r.get("layer_path") or [])[: len(order)]):
             node = at(order[: depth + 1])
             node.name = node.name if node.name is not None else name or None
-        x.features.append(Feature(geom_of(r["geom"]), {p["key"]: untag(p["value"]) for p in r.get("props") or []}, untag(r.get("id"))))
+        x.features.append(Feature(r["geom"] if isinstance(r["geom"], Geom) else geom_of(r["geom"]), {p["key"]: untag(p["value"]) for p in r.get("props") or []}, untag(r.get("id"))))
     return root
 
 

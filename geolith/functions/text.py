@@ -33,7 +33,10 @@ def fmt_double(value: Column) -> Column:
 
         return F.when(text.isin("NaN", "Infinity", "-Infinity"), text).otherwise(let(parts, join))
 
-    return let(value.cast("double").cast("string"), write)
+    value = value.cast("double")
+    text, size = value.cast("string"), F.abs(value)
+    plain = F.when(text.endswith(".0"), F.substring_index(text, ".", 1)).otherwise(text)  # the JVM writes no exponent in this range
+    return F.when((size >= 1e-3) & (size < 1e7), plain).otherwise(let(text, write))
 
 
 def scalar_format(value: Column) -> Column:
@@ -57,39 +60,49 @@ def scalar_infer(text: Column) -> Column:
 
 
 def _ordinates(p: Column, z: Column, m: Column) -> Column:
-    zero = lambda c: fmt_double(F.coalesce(c, F.lit(0.0)))
-    return F.concat(fmt_double(p["x"]), F.lit(" "), fmt_double(p["y"]), F.when(z, F.concat(F.lit(" "), zero(p["z"]))).otherwise(""), F.when(m, F.concat(F.lit(" "), zero(p["m"]))).otherwise(""))
+    """Numbers of a position; a missing Z or M is 0 where another position has one."""
+    more = lambda on, c: F.when(on, F.array(F.coalesce(c, F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
+    return F.array_join(F.transform(F.concat(F.array(p["x"], p["y"]), more(z, p["z"]), more(m, p["m"])), fmt_double), " ")
 
 
 def _in_brackets(items: Column) -> Column:
     return F.concat(F.lit("("), F.array_join(items, ", "), F.lit(")"))
 
 
+def _tag(positions: Column, then) -> Column:
+    """then(has Z, has M, the tag for them)."""
+    dims = F.struct(F.exists(positions, lambda p: p["z"].isNotNull()).alias("z"), F.exists(positions, lambda p: p["m"].isNotNull()).alias("m"))
+    return let(dims, lambda d: then(d["z"], d["m"], F.when(d["z"] & d["m"], " ZM").when(d["z"], " Z").when(d["m"], " M").otherwise("")))
+
+
 def wkt_member(m: Column) -> Column:
-    """Well-known text of a geometry that is no collection. A missing Z or M is 0 where another position has one."""
-
-    def write(dims: Column) -> Column:
-        z, m_ = dims["z"], dims["m"]
-        tag = F.when(z & m_, " ZM").when(z, " Z").when(m_, " M").otherwise("")
-        ring = lambda r: _in_brackets(F.transform(r, lambda p: _ordinates(p, z, m_)))
-        rings = lambda part: _in_brackets(F.transform(part, ring))
-        kind, parts = m["type"], m["parts"]
-        body = (
-            F.when(kind.isin("Point", "LineString"), ring(F.get(F.get(parts, F.lit(0)), F.lit(0))))
-            .when(kind == "Polygon", rings(F.get(parts, F.lit(0))))
-            .when(kind.isin("MultiPoint", "MultiLineString"), _in_brackets(F.transform(parts, lambda part: ring(part[0]))))
-            .otherwise(_in_brackets(F.transform(parts, rings)))
-        )
-        return F.concat(F.upper(kind), tag, F.when(F.size(F.flatten(F.flatten(parts))) == 0, " EMPTY").otherwise(F.concat(F.lit(" "), body)))
-
-    flat = F.flatten(F.flatten(m["parts"]))
-    return let(F.struct(F.exists(flat, lambda p: p["z"].isNotNull()).alias("z"), F.exists(flat, lambda p: p["m"].isNotNull()).alias("m")), write)
+    """Well-known text of a geometry that is no collection. Each position is written once; the kind only decides on brackets."""
+    kind, parts = m["type"], m["parts"]
+    flat = F.flatten(F.flatten(parts))
+
+    def write(z: Column, m_: Column, tag: Column) -> Column:
+        rings = F.transform(parts, lambda part: F.transform(part, lambda r: _in_brackets(F.transform(r, lambda p: _ordinates(p, z, m_)))))
+
+        def join(t: Column) -> Column:
+            return (
+                F.when(kind.isin("Point", "LineString"), F.get(F.get(t, F.lit(0)), F.lit(0)))
+                .when(kind == "Polygon", _in_brackets(F.get(t, F.lit(0))))
+                .when(kind == "MultiPolygon", _in_brackets(F.transform(t, _in_brackets)))
+                .otherwise(_in_brackets(F.transform(t, lambda part: F.get(part, F.lit(0)))))
+            )
+
+        return F.concat(F.upper(kind), tag, F.when(F.size(flat) == 0, " EMPTY").otherwise(F.concat(F.lit(" "), let(rings, join))))
+
+    return _tag(flat, write)
 
 
 def wkt_format(geom: Column) -> Column:
     """Well-known text. Collections are written one level deep here; ``functions.udfs.st_astext`` writes nested ones."""
     flat = F.flatten(F.transform(geom["members"], lambda m: F.flatten(F.flatten(m["parts"]))))
-    z, m = F.exists(flat, lambda p: p["z"].isNotNull()), F.exists(flat, lambda p: p["m"].isNotNull())
-    tag = F.when(z & m, " ZM").when(z, " Z").when(m, " M").otherwise("")
-    collection = F.concat(F.lit("GEOMETRYCOLLECTION"), tag, F.when(F.size(flat) == 0, " EMPTY").otherwise(F.concat(F.lit(" "), _in_brackets(F.transform(geom["members"], wkt_member)))))
-    return F.when(geom["type"] == "GeometryCollection", collection).otherwise(wkt_member(geom["members"][0]))
+
+    def write(members: Column) -> Column:
+        body = F.when(F.size(flat) == 0, " EMPTY").otherwise(F.concat(F.lit(" "), _in_brackets(members)))
+        collection = _tag(flat, lambda z, m, tag: F.concat(F.lit("GEOMETRYCOLLECTION"), tag, body))
+        return F.when(geom["type"] == "GeometryCollection", collection).otherwise(members[0])
+
+    return let(F.transform(geom["members"], wkt_member), write)

@@ -9,43 +9,46 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import model
-from ..codecs import geojson, wkb, wkt
-from ..codecs.base import geom_of, geom_row
+from ..codecs import columnar, geojson, wkb, wkt
 
 GEOMETRY = model.schema(f"g {model.GEOMETRY}").fields[0].dataType
 _ARROW = to_arrow_type(GEOMETRY)
 
 
+def _column(geoms: list) -> pa.Array:
+    return columnar.column(geoms).cast(_ARROW)
+
+
 @F.arrow_udf(GEOMETRY)
 def st_geomfromtext(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else geom_row(wkt.parse(t)) for t in text.to_pylist()], _ARROW)
+    return _column([None if t is None else wkt.parse(t) for t in text.to_pylist()])
 
 
 @F.arrow_udf(GEOMETRY)
 def st_geomfromwkb(data: pa.Array) -> pa.Array:
-    return pa.array([None if d is None else geom_row(wkb.parse(d)) for d in data.to_pylist()], _ARROW)
+    return _column([None if d is None else wkb.parse(d) for d in data.to_pylist()])
 
 
 @F.arrow_udf(GEOMETRY)
 def st_geomfromgeojson(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else geom_row(geojson.parse(geojson.load(t.encode()))) for t in text.to_pylist()], _ARROW)
+    return _column([None if t is None else geojson.parse(geojson.load(t.encode())) for t in text.to_pylist()])
 
 
 @F.arrow_udf(T.StringType())
 def st_astext(geom: pa.Array) -> pa.Array:
-    return pa.array([None if g is None else wkt.dump(geom_of(g)) for g in geom.to_pylist()], pa.string())
+    return pa.array([None if g is None else wkt.dump(g) for g in columnar.geometries(geom)], pa.string())
 
 
 @F.arrow_udf(T.BinaryType())
 def st_asbinary(geom: pa.Array) -> pa.Array:
-    return pa.array([None if g is None else wkb.dump(geom_of(g)) for g in geom.to_pylist()], pa.binary())
+    return pa.array([None if g is None else wkb.dump(g) for g in columnar.geometries(geom)], pa.binary())
 
 
 @F.arrow_udf(T.StringType())
 def st_asgeojson(geom: pa.Array) -> pa.Array:
     import json
 
-    return pa.array([None if g is None else json.dumps(geojson.dump(geom_of(g)), separators=(",", ":")) for g in geom.to_pylist()], pa.string())
+    return pa.array([None if g is None else json.dumps(geojson.dump(g), separators=(",", ":")) for g in columnar.geometries(geom)], pa.string())
 
 
 def register(spark: SparkSession) -> None:

@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...codecs.base import Geom, geom_of
+from ...codecs.base import Geom
 from ...errors import GeoError
 from ...functions import geometry as G
 from ...session import ship
+from ...sources.files import rows_of
 from . import png
 from .frame import Frame, clip_ring, frame, ocean, split_path, stroke_chains
 from .labels import Labeller
@@ -121,11 +122,11 @@ def paint(df: DataFrame, f: Frame, options: Options) -> DataFrame:
         schema = pa.schema([("band", pa.int32()), ("rank", pa.int32()), ("layer_ord", pa.list_(pa.int32())), ("seq", pa.int64()), ("sub", pa.int32()), ("paint", pa.binary())])
         for b in batches:
             out = []
-            for r in b.to_pylist():
+            for r in rows_of(b):
                 if r["geom"] is None:
                     continue
                 name = (r["layer_path"] or [""])[-1]
-                for sub, (data, x0, y0, x1, y1) in enumerate(commands(geom_of(r["geom"]), f, styles.get(name, base), scale)):
+                for sub, (data, x0, y0, x1, y1) in enumerate(commands(r["geom"], f, styles.get(name, base), scale)):
                     if x1 < 0 or y1 < 0 or x0 > f.width or y0 > f.height:
                         continue
                     for band in range(max(0, int(y0) // BAND), min(n_bands - 1, int(y1) // BAND) + 1):

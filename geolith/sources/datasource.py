@@ -15,10 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import model
 from ..codecs import shapefile
-from ..codecs.base import Layer, feature_rows, layer_of
+from ..codecs.base import Layer, layer_of
 from ..errors import GeoError
 from ..formats import FORMATS, Format
-from .files import _put, decode, encode
+from .files import _put, batch_of, decode, encode, rows_of, whole_rows
 
 
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -55,9 +55,9 @@ class _Reader(DataSourceReader):
             layer = shapefile.read(_bytes(path), _bytes(base + ".dbf"), _bytes(base + ".cpg"))
         else:
             layer = decode(self.fmt.name, _bytes(path))
-        rows, schema = feature_rows(layer, path), to_arrow_schema(model.schema(model.FEATURE))
+        rows, schema = whole_rows(layer, path), to_arrow_schema(model.schema(model.FEATURE))
         for a in range(0, len(rows), 5000):
-            yield pa.RecordBatch.from_pylist(rows[a : a + 5000], schema)
+            yield batch_of(rows[a : a + 5000], schema)
 
 
 class _Writer(DataSourceArrowWriter):
@@ -67,7 +67,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        rows = [r for b in batches for r in b.to_pylist()]
+        rows = [r for b in batches for r in rows_of(b)]
         if rows:
             layer = layer_of(rows)
             base = f"{self.path.rstrip('/')}/part-{TaskContext.get().partitionId():05d}"

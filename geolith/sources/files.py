@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import model
-from ..codecs import csvgeo, flatgeobuf, geojson, geoparquet, gpx, kml, shapefile, topojson, wkb, wkt
+from ..codecs import columnar, csvgeo, flatgeobuf, geojson, geoparquet, gpx, kml, shapefile, topojson, wkb, wkt
 from ..codecs.base import Layer, feature_rows, layer_of, layer_rows
 from ..errors import GeoError
 from ..formats import BY_NAME, detect
@@ -47,6 +47,24 @@ def encode(fmt: str, layer: Layer, **options) -> bytes:
     return WRITERS[fmt](layer, **options)
 
 
+def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as a batch; the geometry column goes in whole."""
+    if "geom" not in schema.names:
+        return pa.RecordBatch.from_pylist(rows, schema)
+    plain = pa.schema([f for f in schema if f.name != "geom"])
+    rest = pa.RecordBatch.from_pylist([{k: v for k, v in r.items() if k != "geom"} for r in rows], plain)
+    geom = columnar.column([r.get("geom") for r in rows]).cast(schema.field("geom").type)
+    return pa.RecordBatch.from_arrays([geom if f.name == "geom" else rest.column(f.name) for f in schema], schema=schema)
+
+
+def rows_of(batch: pa.RecordBatch) -> list[dict]:
+    """Rows of a batch, geometries as geometries."""
+    rows = batch.drop_columns(["geom"]).to_pylist() if batch.num_columns > 1 else [{} for _ in range(batch.num_rows)]
+    for r, g in zip(rows, columnar.geometries(batch.column("geom")), strict=True):
+        r["geom"] = g
+    return rows
+
+
 def _stem(path: str) -> str:
     return posixpath.splitext(posixpath.basename(path))[0]
 
@@ -101,17 +119,21 @@ def _parsed(spark: SparkSession, path: str, fmt: str | None, schema: str, rows:
                     for r in found:
                         r["layer_path"] = [_stem(one), *(r.get("layer_path") or [])]
                 for a in range(0, len(found), 5000):
-                    yield pa.RecordBatch.from_pylist(found[a : a + 5000], arrow)
+                    yield batch_of(found[a : a + 5000], arrow)
 
     return _contents(spark, path, fmt).mapInArrow(run, out)
 
 
+def whole_rows(layer: Layer, source: str) -> list[dict]:
+    return feature_rows(layer, source, geom=lambda g: g)
+
+
 def read_files(spark: SparkSession, path: str, fmt: str | None = None, mode: str = "FAILFAST", compat_deleted_shift: bool = True) -> DataFrame:
     """Feature rows of a file, a folder or a glob. Modes: FAILFAST raises, PERMISSIVE gives a row with ``_corrupt``, DROPMALFORMED passes over the file.
 
     Files of a shapefile folder are layers named by file, ordered by name when they are written or walked.
     """
-    found = _parsed(spark, path, fmt, model.FEATURE, feature_rows, mode, compat_deleted_shift)
+    found = _parsed(spark, path, fmt, model.FEATURE, whole_rows, mode, compat_deleted_shift)
     if (fmt or detect(path)) == "shapefile" and not path.lower().endswith(".shp"):
         names = found.select("source_file").distinct().withColumn("_i", F.expr("row_number() OVER (ORDER BY source_file) - 1").cast("int"))  # a row per file
         found = found.join(F.broadcast(names), "source_file").withColumn("layer_ord", F.concat(F.array("_i"), F.coalesce("layer_ord", F.array().cast("array<int>")))).drop("_i")
@@ -147,7 +169,7 @@ def write_files(df: DataFrame, path: str, fmt: str | None = None, layers: list[d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows = [r for b in batches for r in b.to_pylist()]
+        rows = [r for b in batches for r in rows_of(b)]
         if not rows and not single:
             return
         layer = layer_of(rows, known)

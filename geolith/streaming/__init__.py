@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import model
-from ..codecs.base import feature_rows
-from ..sources.files import decode
+from ..sources.files import batch_of, decode, whole_rows
 
 
 def watch(spark: SparkSession, folder: str, fmt: str, max_files: int = 100) -> DataFrame:
     """A stream of feature rows from files of one format as they arrive in a folder. Exactly once per file, by Spark's file source."""
-    import pyarrow as pa
-
     schema = model.schema(model.FEATURE)
     arrow = to_arrow_schema(schema)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files).load(folder)
@@ -22,7 +19,7 @@ def watch(spark: SparkSession, folder: str, fmt: str, max_files: int = 100) -> D
     def run(batches):
         for b in batches:
             for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist(feature_rows(decode(fmt, data), path), arrow)
+                yield batch_of(whole_rows(decode(fmt, data), path), arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 

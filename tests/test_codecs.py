@@ -281,3 +281,15 @@ def test_geoparquet_details():
     table = pa.table({"geometry": [wkb.dump(point(p(1, 2)))], "i": pa.array([3], pa.int32()), "d": pa.array(["x"]).dictionary_encode()}).replace_schema_metadata({"geo": geoparquet.geo_metadata(["Point"], None)})
     pq.write_table(table, held, compression="zstd")
     assert props(geoparquet.read(held.getvalue())) == [{"i": 3, "d": "x"}]
+
+
+def test_columns_hold_what_rows_hold():
+    from geolith.codecs import columnar
+
+    geoms = [wkt.parse(t) for t in VALID] + [None, *every_type()]
+    column = columnar.column(geoms)
+    assert column.to_pylist() == [base.geom_row(g) for g in geoms]
+    for c in (column, column.slice(3, 9), column.slice(len(geoms) - 5)):
+        back = columnar.geometries(c)
+        assert [None if g is None else wkt.dump(g) for g in back] == [None if r is None else wkt.dump(base.geom_of(r)) for r in c.to_pylist()]
+    assert columnar.geometries(columnar.column([])) == []
