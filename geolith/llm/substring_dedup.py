@@ -79,8 +79,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     texts = with_copies(docs, copied)
     anchors = repeated_anchors(texts, k, length, words=True)
     windows = _candidates(texts.join(anchors, F.col("doc_id") == F.col("g_id"), "left").drop("g_id"), length, k)
-    first = windows.groupBy("h1", "h2").agg(F.min("g_id").alias("g_first"), F.max("g_id").alias("g_last")).where("g_first < g_last").drop("g_last")
-    repeated = windows.join(first, ["h1", "h2"]).where("g_id > g_first")
+    first = windows.groupBy("h1", "h2").agg(F.min("g_id").alias("g_first"), F.max("g_id").alias("g_last")).where("g_first < g_last")
+    # joined by the complement of the hash, both sides are dealt anew by plain exchanges, which Spark can split at a hot window
+    first = first.select(F.bitwise_not("h1").alias("g_not"), F.col("h2").alias("g_h2"), "g_first")
+    repeated = windows.join(first, (F.bitwise_not("h1") == F.col("g_not")) & (F.col("h2") == F.col("g_h2"))).where("g_id > g_first")
     marks = repeated.groupBy("g_id").agg(F.collect_list("g_place").alias("g_marks"))
     joined = texts.join(marks, F.col("doc_id") == F.col("g_id"), "left").drop("g_id")
     inner = ("g_text", "g_tag", "g_copies", "g_marks")
