@@ -139,6 +139,23 @@ def project(kind: str, lon: Column, lat: Column, extent: tuple[float, float, flo
     return F.struct(lon.alias("x"), lat.alias("y"))
 
 
+def project_envelope(kind: str, e: Column, samples: int = 16) -> Column:
+    """Envelope of the projected extent: corners for straight projections, 17 points an edge for curved ones."""
+    if kind in ("PlateCarree", "WebMercator"):
+        y = mercator_y if kind == "WebMercator" else lambda c: c
+        return F.struct(e["minx"].alias("minx"), y(e["miny"]).alias("miny"), e["maxx"].alias("maxx"), y(e["maxy"]).alias("maxy"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(samples)), lambda i: i / samples)
+    lon, lat = lambda t: e["minx"] + t * (e["maxx"] - e["minx"]), lambda t: e["miny"] + t * (e["maxy"] - e["miny"])
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    edges = F.flatten(F.transform(steps, lambda t: F.array(at(lon(t), e["miny"]), at(lon(t), e["maxy"]), at(e["minx"], lat(t)), at(e["maxx"], lat(t)))))
+
+    def box(ps: Column) -> Column:
+        xs, ys = F.transform(ps, lambda p: p["x"]), F.transform(ps, lambda p: p["y"])
+        return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+
+    return let(F.transform(edges, lambda p: goode(p["x"], p["y"])), box)
+
+
 def canvas_fit(width: Column, height: Column, *, out_width: int = 2048, out_height: int = 0, max_dimension: int = 0, padding: int = 8) -> Column:
     """struct(w, h, scale, dx, dy) for projected extents; halves round to even, and an extent of 0 counts as 1."""
 

@@ -78,6 +78,23 @@ def goode_lobe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("lobe").agg(F.count(F.lit(1)).alias("n"))
 
 
+_EDGES = """s AS (SELECT unnest(generate_series(0, 16)) / 16 AS t), ev AS (
+    SELECT n AS event_id, minx + t * (maxx - minx) AS lon, miny AS lat FROM b, s UNION ALL SELECT n, minx + t * (maxx - minx), maxy FROM b, s UNION ALL SELECT n, minx, miny + t * (maxy - miny) FROM b, s UNION ALL SELECT n, maxx, miny + t * (maxy - miny) FROM b, s)"""
+
+
+@query(
+    f"""WITH {fx.CUST}, b AS (SELECT n, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy FROM cust GROUP BY 1), {_EDGES},
+    la AS (SELECT event_id, lon, {_CLAMP.format(m=P.POLE_LIMIT)} * {_RAD} AS phi, CAST({_LOBE} AS INTEGER) AS lobe FROM ev), lb AS (SELECT *, {_MERIDIAN} AS cm FROM la), {_NEWTON},
+    p AS (SELECT event_id, CASE WHEN abs(phi) <= {P._BAND!r} THEN (lon - cm) * {_RAD} * cos(phi) ELSE 2 * sqrt(2) / pi() * (lon - cm) * {_RAD} * cos(t) END * 180 / pi() + cm AS x,
+    CASE WHEN abs(phi) <= {P._BAND!r} THEN phi WHEN phi >= 0 THEN sqrt(2) * sin(t) - {P._SHIFT!r} ELSE sqrt(2) * sin(t) + {P._SHIFT!r} END * 180 / pi() AS y FROM t8)
+    SELECT event_id AS n, round(min(x), 6) AS minx, round(min(y), 6) AS miny, round(max(x), 6) AS maxx, round(max(y), 6) AS maxy FROM p GROUP BY 1"""
+)
+def project_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extent of each nation on the homolosine, from 17 points an edge."""
+    e = _fitted(spark, sf_dir).select("n", P.project_envelope("Goode", F.col("e")).alias("p"))
+    return e.select("n", *[F.round(f"p.{c}", 6).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
 _BOX = f"WITH {fx.CUST}, b AS (SELECT n, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy FROM cust GROUP BY 1), s AS (SELECT *, maxx - minx AS w0, maxy - miny AS h0 FROM b), z AS (SELECT *, CASE WHEN w0 > 0 THEN w0 ELSE 1 END AS w, CASE WHEN h0 > 0 THEN h0 ELSE 1 END AS h FROM s)"
 _FIT = ", f AS (SELECT *, CASE WHEN w >= h THEN 1024 ELSE greatest(1, CAST(round_even(1024::DOUBLE * w / h, 0) AS INTEGER)) END AS cw, CASE WHEN w >= h THEN greatest(1, CAST(round_even(1024::DOUBLE * h / w, 0) AS INTEGER)) ELSE 1024 END AS ch FROM z), g AS (SELECT *, least(greatest(1, cw - 16) / w, greatest(1, ch - 16) / h) AS scale FROM f)"
 

@@ -137,6 +137,13 @@ def clip_ring(ring: np.ndarray, rect: tuple[float, float, float, float]) -> tupl
     """The ring inside the rectangle and, for each vertex, the side (1, 2, 4, 8) that made it, or 0. Sides are dealt with in that order;
     edges along a side get fifteen points between, so that they can bend with the projection."""
     ps, tags = np.asarray(ring, float).reshape(-1, 2), np.zeros(len(ring), int)
+    if not len(ps):
+        return ps, tags
+    (x0, y0), (x1, y1) = ps.min(0), ps.max(0)
+    if x1 < rect[0] or x0 > rect[1] or y1 < rect[2] or y0 > rect[3]:
+        return ps[:0], tags[:0]
+    if x0 >= rect[0] and x1 <= rect[1] and y0 >= rect[2] and y1 <= rect[3]:
+        return ps, tags
     for axis, limit, sign, tag in ((0, rect[0], 1, 1), (0, rect[1], -1, 2), (1, rect[2], 1, 4), (1, rect[3], -1, 8)):
         if not len(ps):
             break

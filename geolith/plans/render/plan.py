@@ -172,7 +172,10 @@ def _blank(f: Frame, options: Options, band: int) -> Canvas:
 
 
 def label_rows(df: DataFrame, options: Options, f: Frame) -> DataFrame:
-    """Labels in the order they are tried: by layer, largest first, then by text. Anchors and priorities are column expressions."""
+    """Labels in the order they are tried: by layer, largest first, then by text. Anchors and priorities are column expressions.
+
+    Columns ``label`` and ``label_priority`` of df, if there are such, take the place of the properties that styles name.
+    """
     names = {"": options.base, **{n: options.style(n) for n in (options.layers or {})}}
     layer = F.coalesce(F.element_at(F.when(F.size("layer_path") > 0, F.col("layer_path")).otherwise(F.array(F.lit(""))), -1), F.lit(""))
 
@@ -185,7 +188,7 @@ def label_rows(df: DataFrame, options: Options, f: Frame) -> DataFrame:
     value = lambda key: F.get(F.filter("props", lambda p: p["key"] == key), F.lit(0))["value"]["s"]
     b = f.bounds
     anchored = df.withColumn("rank", F.col("rank") if "rank" in df.columns else F.lit(0)).where("geom IS NOT NULL").select(
-        "rank", "layer_ord", layer.alias("layer"), value(own("label")).alias("text"), G.label_anchor(F.col("geom")).alias("a"), F.coalesce(value(own("label_priority")).try_cast("double"), G.label_priority(F.col("geom"))).alias("priority"), F.col("geom.type").isin("Point", "MultiPoint").alias("dot")
+        "rank", "layer_ord", layer.alias("layer"), (F.col("label").cast("string") if "label" in df.columns else value(own("label"))).alias("text"), G.label_anchor(F.col("geom")).alias("a"), F.coalesce(F.col("label_priority").cast("double") if "label_priority" in df.columns else value(own("label_priority")).try_cast("double"), G.label_priority(F.col("geom"))).alias("priority"), F.col("geom.type").isin("Point", "MultiPoint").alias("dot")
     )
     inside = (F.col("a.x") >= b[0]) & (F.col("a.x") <= b[2]) & (F.col("a.y") >= b[1]) & (F.col("a.y") <= b[3])
     return anchored.where((F.col("text") != "") & F.col("a").isNotNull() & (inside if f.kind == "PlateCarree" and options.padding == 0 else F.lit(True))).orderBy("rank", "layer_ord", F.desc("priority"), "text")
@@ -209,7 +212,7 @@ def render_png(df: DataFrame, options: Options | None = None) -> bytes:
         for band in set(range(-(-f.height // BAND))) - seen:
             part = _blank(f, options, band)
             canvas.pixels[part.top : part.top + part.height] = part.pixels
-    if options.base.label or any(s.label for s in (options.layers or {}).values()):
+    if "label" in df.columns or options.base.label or any(s.label for s in (options.layers or {}).values()):
         labeller, scale = Labeller(canvas), f.stroke_multiplier() if options.stroke_auto_scale else 1.0
         for r in label_rows(df, options, f).toLocalIterator():  # in order, a partition at a time; placed labels are as many as fit
             style = options.style(r["layer"])
