@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import let
+from .order import numbered
 
 
 def decode_arc(deltas: Column, scale: tuple[float, float], translate: tuple[float, float]) -> Column:
@@ -37,13 +38,8 @@ def stitch(uses: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def number_arcs(df: DataFrame) -> DataFrame:
-    """Features (layer_ord, seq, geom) -> a row per line or ring with its arc number, from 0 in writing order.
-
-    Numbers come from a distributed sort: offsets of the sort's partitions, plus the place within one.
-    """
+    """Features (layer_ord, seq, geom) -> a row per line or ring with its arc number, from 0 in writing order."""
     flat = df.select("layer_ord", "seq", F.posexplode(F.flatten(F.transform("geom.members", lambda m: F.transform(m["parts"], lambda p: F.transform(p, lambda r: F.struct(m["type"].alias("type"), r.alias("ring")))))) ).alias("part", "rings"))
     rings = flat.select("layer_ord", "seq", "part", F.posexplode("rings").alias("ring", "r")).where(~F.col("r.type").endswith("Point"))
-    placed = rings.orderBy("layer_ord", "seq", "part", "ring").withColumn("_at", F.monotonically_increasing_id()).withColumn("_run", F.shiftright("_at", 33))
-    starts = placed.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = placed.join(F.broadcast(starts), "_run").withColumn("arc", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    return numbered.select("layer_ord", "seq", "part", "ring", "arc", F.col("r.ring").alias("path"))
+    placed = numbered(rings, ["layer_ord", "seq", "part", "ring"], "arc")
+    return placed.select("layer_ord", "seq", "part", "ring", "arc", F.col("r.ring").alias("path"))

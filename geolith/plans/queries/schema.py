@@ -11,6 +11,7 @@ from ...functions import text as X
 from ...model import PROPERTIES, scalar
 from ...operators import layers as L
 from ...operators import schema as S
+from ...operators.order import numbered
 from .. import fixtures as fx
 from ..catalogue import query
 
@@ -125,13 +126,13 @@ def layer_flatten_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, r = F.col("k"), F.col("r").cast("int")
     order = F.when(k % 10 == 0, F.array().cast("array<int>")).when(k % 3 == 0, F.array(r)).otherwise(F.array(r, F.col("n").cast("int")))
     rows = c.join(F.broadcast(n), "n").select("k", "n", "r", order.alias("layer_ord"), k.alias("seq"))
-    return rows.withColumn("place", F.expr("CAST(row_number() OVER (ORDER BY layer_ord, seq) AS INT)")).select("k", "n", "r", "place")
+    return numbered(rows, ["layer_ord", "seq"], "place", start=1).select("k", "n", "r", F.col("place").cast("int").alias("place"))
 
 
 @query(f"WITH {fx.CUST}, {fx.SUPP}, u AS (SELECT 0 AS rank, k FROM supp UNION ALL SELECT 1, k FROM cust) SELECT rank, k, CAST(row_number() OVER (ORDER BY rank, k) AS INTEGER) AS paint FROM u")
 def stack_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = L.stacked([fx.supplier_points(spark, sf_dir), fx.customer_points(spark, sf_dir)])
-    return s.select("rank", "k", F.expr("CAST(row_number() OVER (ORDER BY rank, k) AS INT)").alias("paint"))
+    return numbered(s.select("rank", "k"), ["rank", "k"], "paint", start=1).withColumn("paint", F.col("paint").cast("int"))
 
 
 @query(
@@ -164,7 +165,7 @@ def label_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.part_squares(spark, sf_dir).select(F.concat(F.lit("part "), F.col("k").cast("string")).alias("label"), "geom", "k")
     c = fx.customer_points(spark, sf_dir).select(F.concat(F.lit("customer "), F.col("k").cast("string")).alias("label"), model.point(model.position(F.col("lon"), F.col("lat"))).alias("geom"), "k")
     both = p.unionByName(c).where("k % 4 = 0").select("label", F.round(G.label_priority(F.col("geom")), 9).alias("priority"))
-    return both.select("label", F.expr("CAST(row_number() OVER (ORDER BY priority DESC, label) AS INT)").alias("place"))
+    return numbered(both, [F.desc("priority"), "label"], "place", start=1).select("label", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT 'Unknown' AS kind, 'MultiPoint,Polygon' AS types")

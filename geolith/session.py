@@ -44,3 +44,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geolith-scratch-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df):
+    """df written to the checkpoint folder and read from there: its partitions stay as they are, whoever is lost."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geolith-checkpoint-"))
+    return df.checkpoint(eager=True)
