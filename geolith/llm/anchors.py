@@ -188,6 +188,20 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def witnesses(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of entries in order of their group, those to ship: one of the smallest and one of the largest document of each group that
+    several documents share, and all of a group of one document. The rest repeat, which needs no other task to tell, so what a
+    task ships of a group does not grow with the group."""
+    starts = runs(group)
+    at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(group))))
+    least, most = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+    ship = (least == most)[at]
+    for end in (least, most):
+        hit = np.flatnonzero(doc == end[at])
+        ship[hit[runs(at[hit])]] = True
+    return ship
+
+
 def dealt(doc: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
     """Numbers (of 32 bits) about documents, packed: a row per bucket of doc_ids."""
     bucket = ((mix(doc.view(np.uint64)) >> _U(48)) * _U(buckets) >> _U(16)).astype(np.uint16)
@@ -237,7 +251,8 @@ def copies(docs: DataFrame) -> DataFrame:
     """
     keyed = prepared(docs).where("doc_id IS NOT NULL").select("doc_id", "g_tag", F.xxhash64(F.lit(7), "g_text", F.lit(7)).alias("k"), F.octet_length("g_text").alias("n"))
     first = keyed.groupBy("g_tag", "k", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    later = keyed.join(first, ["g_tag", "k", "n"]).where("doc_id > first")
+    first = first.select(F.bitwise_not("g_tag").alias("g_not"), F.col("k").alias("k2"), F.col("n").alias("n2"), "first")  # so both sides are dealt anew, and Spark can split a large class
+    later = keyed.join(first, (F.bitwise_not("g_tag") == F.col("g_not")) & (F.col("k") == F.col("k2")) & (F.col("n") == F.col("n2"))).where("doc_id > first")
     return later.groupBy(F.col("doc_id").alias("g_id")).agg(F.collect_set(F.struct(F.col("g_tag").alias("tag"), F.col("first").alias("first"))).alias("g_copies"))
 
 
@@ -262,6 +277,13 @@ def repeated_anchors(docs: DataFrame, k: int, length: int, words: bool) -> DataF
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        order = np.argsort(key, kind="stable")
+        ship = np.zeros(len(key), bool)
+        ship[order] = witnesses(key[order], doc[order])  # back in the order of documents, whose differences are small
+        if not ship.all():  # known to repeat here; they go on as they are, without their key
+            sure = dealt(doc[~ship], {"place": place[~ship]}, document_buckets)
+            yield pa.RecordBatch.from_arrays([sure.column("bucket"), pa.nulls(sure.num_rows, pa.binary()), sure.column("doc"), sure.column("place")], ["bucket", "key", "doc", "place"])
+        key, doc, place = key[ship], doc[ship], place[ship]
         bucket = ((key >> _U(48)) * _U(buckets) >> _U(16)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         key, doc, place, bucket = key[order], doc[order], place[order], bucket[order]
@@ -288,25 +310,30 @@ def repeated_anchors(docs: DataFrame, k: int, length: int, words: bool) -> DataF
             yield from emit(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, places = [], [], []
+        keys, docs, places, found = [], [], [], []
         for batch in batches:
             for bucket, key, doc, place in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "doc", "place")), strict=True):
+                if key is None:
+                    found.append((unpack_ids(doc), unpack(place, "<u4")))
+                    continue
                 low = np.zeros((8, len(key) // 6), np.uint8)
                 low[:6] = np.frombuffer(key, np.uint8).reshape(6, -1)
                 keys.append(np.ascontiguousarray(low.T).view("<u8").ravel() | _U(bucket << 48))
                 docs.append(unpack_ids(doc))
                 places.append(unpack(place, "<u4"))
-        if not keys:
-            return
-        key, doc, place = map(np.concatenate, (keys, docs, places))
-        keys = docs = places = None
-        order = np.argsort(key)
-        key, doc, place = key[order], doc[order], place[order]
-        starts = runs(key)
-        shared = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-        kept = np.repeat(shared, np.diff(np.append(starts, len(key))))
-        if kept.any():
-            yield dealt(doc[kept], {"g_at": place[kept]}, document_buckets)
+        if keys:
+            key, doc, place = map(np.concatenate, (keys, docs, places))
+            keys = docs = places = None
+            order = np.argsort(key)
+            key, doc, place = key[order], doc[order], place[order]
+            starts = runs(key)
+            shared = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
+            kept = np.repeat(shared, np.diff(np.append(starts, len(key))))
+            found.append((doc[kept], place[kept]))
+        if found:
+            doc, place = map(np.concatenate, zip(*found, strict=True))
+            if len(doc):
+                yield dealt(doc, {"g_at": place}, document_buckets)
 
     packed = docs.mapInArrow(scan, "bucket int, key binary, doc binary, place binary")
     return gathered(packed.repartition("bucket").mapInArrow(meet, "bucket int, doc binary, g_at binary"), ["g_at"])

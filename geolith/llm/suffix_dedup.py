@@ -5,7 +5,8 @@ A run of ``length`` bytes can only repeat if its anchors do (module ``anchors``)
 equal runs meet in one shard. A shard joins its distinct contexts with separators, builds its suffix array by induced sorting
 and the permuted common prefixes; neighbours with a common prefix of ``length`` or more are one string, whose smallest doc_id
 decides for all its places. Comparison is byte by byte, so no hash decides a removal. A shard splits into arrays of bounded size
-between anchors, so memory follows the fullest anchor, whose equal contexts count once.
+between anchors, so memory follows the fullest anchor. Of equal contexts in a task only those of the smallest document are shipped, as
+the others are decided by it: a passage in a third of all documents costs a shard its distinct contexts once per task.
 
 Whole texts that a smaller doc_id has are settled by 128 bits of text hash and their length, pre-aggregated in each task.
 
@@ -38,17 +39,29 @@ SHARD = 1 << 21
 def _contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Packed contexts of repeated anchors, a row per (task, bucket)."""
     buckets = min(1 << 16, 2 * partitions(docs.sparkSession))
+    document_buckets = min(1 << 16, partitions(docs.sparkSession))
     reach, width = length - k, 2 * length - k
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         key, doc, tag, place, left, size, wide = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.argsort(key, kind="stable")  # equal anchors, and so like contexts, side by side: they compress
+        wide[np.arange(width) >= size[:, None]] = 0
+        order, group = like_contexts(left, size, wide)
+        least = np.minimum.reduceat(doc[order], runs(group))[group]
+        beaten = order[doc[order] > least]  # a smaller document here has the same context, so all its runs go
+        if len(beaten):
+            first = reach - left[beaten].astype(np.int64)
+            bits = ((np.int64(1) << (size[beaten].astype(np.int64) - length + 1)) - 1) << first
+            sure = dealt(doc[beaten], {"tag": tag[beaten], "place": place[beaten], "bytes": bits}, document_buckets)
+            none = pa.nulls(sure.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([sure.column("bucket"), none, sure.column("doc"), sure.column("tag"), sure.column("place"), none, none, sure.column("bytes")], ["bucket", "key", "doc", "tag", "place", "left", "size", "bytes"])
+        order = order[doc[order] == least]
+        order = order[np.argsort(key[order], kind="stable")]  # equal anchors, and so like contexts, side by side: they compress
         bucket = ((key >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
         starts = runs(bucket[order])
         inside = np.arange(width) < size[:, None]
         rows = []
-        for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
+        for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
             o = order[a:b]
             rows.append((int(bucket[o[0]]), pack(key[o]), pack_ids(doc[o]), pack(tag[o]), pack(place[o].astype("<u4")), left[o].tobytes(), size[o].tobytes(), pa.compress(wide[o][inside[o]].tobytes(), "zstd", asbytes=True)))
         names = ["bucket", "key", "doc", "tag", "place", "left", "size", "bytes"]
@@ -98,17 +111,22 @@ def _gram_keys(grams: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def like_contexts(left: np.ndarray, size: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): contexts in an order that puts equal ones together, and the number of each one's group there. Bytes decide."""
+    order = np.argsort(_gram_keys(wide) + left.astype(np.uint64) * np.uint64(257) + size, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = (left[order[1:]] != left[order[:-1]]) | (size[order[1:]] != size[order[:-1]]) | (wide[order[1:]] != wide[order[:-1]]).any(1)
+    return order, np.cumsum(new) - 1
+
+
 def shard_marks(doc: np.ndarray, left: np.ndarray, size: np.ndarray, wide: np.ndarray, length: int, reach: int) -> np.ndarray:
     """For each context, bit i set if the run that starts i bytes past (anchor - reach) also occurs for a smaller doc."""
     width = wide.shape[1]
     wide = np.where(np.arange(width) < size[:, None], wide, 0).astype(np.uint8)
-    sig = _gram_keys(wide) + left.astype(np.uint64) * np.uint64(257) + size
-    order = np.argsort(sig, kind="stable")
-    same = np.zeros(len(order), bool)
-    same[1:] = (left[order[1:]] == left[order[:-1]]) & (size[order[1:]] == size[order[:-1]]) & (wide[order[1:]] == wide[order[:-1]]).all(1)
-    heads = np.flatnonzero(~same)
+    order, group = like_contexts(left, size, wide)
+    heads = runs(group)
     of = np.zeros(len(order), np.int64)
-    of[order] = np.cumsum(~same) - 1  # each context's distinct one
+    of[order] = group  # each context's distinct one
     least = np.minimum.reduceat(doc[order], heads)
     left, size, wide = left[order[heads]].astype(np.int64), size[order[heads]].astype(np.int64), wide[order[heads]]
     lines = np.zeros((len(heads), width + 1), np.uint16)
@@ -146,10 +164,13 @@ def _decide(packed: DataFrame, length: int, k: int) -> DataFrame:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
+        found: list[tuple] = []
         for batch in batches:
             for row in batch.to_pylist():
-                parts.setdefault(row["bucket"], []).append(row)
-        found: list[tuple] = []
+                if row["key"] is None:  # decided where it came from
+                    found.append((unpack_ids(row["doc"]), *(unpack(row[n], "<u4") for n in ("tag", "place", "bytes"))))
+                else:
+                    parts.setdefault(row["bucket"], []).append(row)
         while parts:
             rows = parts.popitem()[1]
             key, tag, place = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("key", "<u8"), ("tag", "<u4"), ("place", "<u4")))
