@@ -45,8 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     counted = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").where(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "")
     classes = simhash.near_classes_wide(counted.select("doc_id", "text"))
-    gone = classes.groupBy("doc_id").agg(F.min("component_id").alias("g_first")).where("doc_id > g_first").select(F.col("doc_id").alias("g_id"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti")
+    gone = classes.where("doc_id > component_id").select(F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag"))  # texts of one doc_id are judged apart
+    kept = docs.join(gone, (F.col("doc_id") == F.col("g_id")) & (F.xxhash64("text") == F.col("g_tag")), "left_anti")
     return kept.dropDuplicates()
 
 

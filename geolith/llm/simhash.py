@@ -83,16 +83,17 @@ def fingerprint_lanes(text: str | None, k: int, lanes: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int, lanes: int = 1) -> DataFrame:
-    """doc_id and its lanes f0, f1, ... as longs (the bits as they are, so the sign is one of them)."""
+    """doc_id, tag (a hash of the text) and lanes f0, f1, ... as longs (the bits as they are, so the sign is one of them)."""
     names = [f"f{i}" for i in range(lanes)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text")
             prints = np.array([fingerprint_lanes(x.as_py(), k, lanes) for x in texts], np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(prints[:, i]) for i in range(lanes)]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), *[pa.array(prints[:, i]) for i in range(lanes)]], ["doc_id", "tag", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tag"), text_or_empty().alias("text"))
+    return rows.mapInArrow(scan, "doc_id long, tag long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _block_keys(f: Column, distance: int) -> list[Column]:
@@ -124,21 +125,19 @@ def links(prints: DataFrame, distance: int = 2, bucket: int = 32) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, f0 and component_id: the smallest doc_id that links of fingerprints within the distance reach."""
+    """doc_id, tag, f0 and component_id: the smallest doc_id that links of fingerprints within the distance reach."""
     prints = cut(fingerprints(docs, shingle))
-    return _classes(prints, ["f0"], lambda reps: _as_ids(links(reps.select(F.col("f0").alias("f")), distance), reps))
-
-
-def _as_ids(found: DataFrame, reps: DataFrame) -> DataFrame:
-    a, b = (reps.select(F.col("f0").alias(n), F.col("rep").alias(f"{n}_id")) for n in ("a", "b"))
-    return found.distinct().join(a, "a").join(b, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return _classes(prints, ["f0"], lambda kinds: links(kinds.select(F.col("f0").alias("f")), distance))
 
 
 def _classes(prints: DataFrame, lanes: list[str], find) -> DataFrame:
-    reps = cut(prints.groupBy(*lanes).agg(F.min("doc_id").alias("rep")))
-    reached = components(find(reps)).withColumnRenamed("node", "rep")
-    named = reps.join(reached, "rep", "left").select(*lanes, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, lanes)
+    """prints with component_id. Nodes are fingerprints (their first lane), so texts that share a doc_id are not linked by it."""
+    kinds = cut(prints.groupBy(*lanes).agg(F.min("doc_id").alias("g_least")))
+    reached = components(find(kinds))
+    label = F.coalesce("component", "f0").alias("g_label")
+    named = kinds.join(reached, F.col("f0") == F.col("node"), "left").select(*lanes, label, "g_least")
+    least = named.groupBy("g_label").agg(F.min("g_least").alias("component_id"))
+    return prints.join(named.drop("g_least"), lanes).join(least, "g_label").drop("g_label")
 
 
 def _forest(f: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -170,7 +169,7 @@ def _forest(f: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
 
 def wide_links(reps: DataFrame, lanes: int, limit: int) -> DataFrame:
-    """reps (rep, f0, f1, ...) -> links (a, b) between reps within ``limit`` bits over all lanes that share a 16-bit block."""
+    """reps (f0, f1, ...) -> links (a, b) between first lanes of those within ``limit`` bits over all lanes that share a 16-bit block."""
     names = [f"f{i}" for i in range(lanes)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +177,7 @@ def wide_links(reps: DataFrame, lanes: int, limit: int) -> DataFrame:
             f = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], 1).view(np.uint64)
             blocks = np.ascontiguousarray(f.astype("<u8")).view("<u2")  # a row's blocks
             keys = blocks.astype(np.int64) + (np.arange(blocks.shape[1], dtype=np.int64) << 16)
-            rep = np.repeat(b.column("rep").to_numpy(), blocks.shape[1])
+            rep = np.repeat(b.column("f0").to_numpy(), blocks.shape[1])
             wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * lanes), len(rep), [None, pa.py_buffer(np.repeat(np.ascontiguousarray(f), blocks.shape[1], axis=0).tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep), wide.cast(pa.binary())], ["key", "rep", "wide"])
 
@@ -203,15 +202,15 @@ def wide_links(reps: DataFrame, lanes: int, limit: int) -> DataFrame:
         if out := done():
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    dealt = reps.select("rep", *names).mapInArrow(deal, "key long, rep long, wide binary")
+    dealt = reps.select(*names).mapInArrow(deal, "key long, rep long, wide binary")
     return dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(join, "a long, b long").distinct()
 
 
 def near_classes_wide(docs: DataFrame, shingle: int = 5, lanes: int = LANES, part: float = NEAR_PART) -> DataFrame:
-    """doc_id and component_id of documents whose five-word shingles are about 0.8 similar or more."""
+    """doc_id, tag and component_id of documents whose five-word shingles are about 0.8 similar or more."""
     names = [f"f{i}" for i in range(lanes)]
     prints = cut(fingerprints(docs, shingle, lanes))
-    return _classes(prints, names, lambda reps: wide_links(reps, lanes, int(part * BITS * lanes))).select("doc_id", "component_id")
+    return _classes(prints, names, lambda kinds: wide_links(kinds, lanes, int(part * BITS * lanes))).select("doc_id", "tag", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

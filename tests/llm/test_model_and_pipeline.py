@@ -97,3 +97,12 @@ def test_stages_take_awkward_rows(spark, sf_dir):
 def test_stages_take_no_rows(spark, sf_dir):
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, documents(spark, []), sf_dir).count() == 0
+
+
+def test_texts_of_one_doc_id_are_judged_apart(spark, sf_dir):
+    r = np.random.default_rng(9)
+    prose = lambda: " ".join(r.choice([f"w{i}" for i in range(500)], 200))
+    base, other = prose(), prose()
+    rows = [(1, base, "en", "s", 1, "", "", 0), (2, base + " end", "en", "s", 1, "", "", 0), (2, other, "en", "s", 1, "", "", 0), (3, other, "en", "s", 1, "", "", 0), (None, base, "en", "s", 1, "", "", 0), (3, other, "en", "s", 1, "", "", 0)]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), sf_dir).collect()
+    assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted([(1, base), (2, other), (None, base)], key=str)

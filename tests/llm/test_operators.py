@@ -60,31 +60,22 @@ def test_empty_table(spark, run):
     assert run(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("distance", [2])
-def test_simhash(spark, distance):
-    docs = [r for r in texts() if r[0] is not None and r[0] != 17] + [(100 + i, f"{'the same words again ' * 30}{i}", "en", "s", 1, "", "", 0) for i in range(60)]
-    got = {r.doc_id: (r.f0 & (2**64 - 1), r.component_id) for r in simhash.near_classes(documents(spark, docs)).collect()}
-    prints = {}
-    for i, t, *_ in docs:
+def test_simhash(spark):
+    docs = [r for r in texts() if r[0] is not None] + [(100 + i, f"{'the same words again ' * 30}{i}", "en", "s", 1, "", "", 0) for i in range(60)]
+    got = Counter((r.doc_id, r.f0 & (2**64 - 1), r.component_id) for r in simhash.near_classes(documents(spark, docs)).collect())
+    prints = []
+    for _, t, *_ in docs:
         w = (t or "").encode().lower().split()
         shingles = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
         hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-        prints[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
-    assert {i: f for i, (f, _) in got.items()} == prints
-    parent = {i: i for i in prints}
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(prints)
-    for a in ids:
-        for b in ids:
-            if (prints[a] ^ prints[b]).bit_count() <= distance and find(a) != find(b):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    assert {i: c for i, (_, c) in got.items()} == {i: find(i) for i in ids}
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0)
+    kinds = sorted(set(prints))
+    pairs = [(a, b) for a in kinds for b in kinds if a < b and (a ^ b).bit_count() <= 2]
+    least = {}
+    for group in _components(kinds, pairs):
+        for f in group:
+            least[f] = min(d[0] for d, g in zip(docs, prints, strict=True) if g in group)
+    assert got == Counter((d[0], f, least[f]) for d, f in zip(docs, prints, strict=True))
 
 
 def test_simhash_crowded_keys_lose_no_link(spark):
