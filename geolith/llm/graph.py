@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links with m of their u. Both sides are dealt anew, by the complement of u, so Spark can split at a node with many links."""
+    return links.join(least.select(F.bitwise_not("u").alias("g_not"), "m"), F.bitwise_not("u") == F.col("g_not"))
+
+
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     """links: (u, v) with u > v, distinct. Each node's larger (or smaller) neighbours move to its smallest neighbour."""
     if large:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # u's neighbours v > u: those are links (v, u)
-        moved = links.select(F.col("u").alias("w"), F.col("v").alias("u")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        moved = _with_least(links.select(F.col("u").alias("w"), F.col("v").alias("u")), least).select(F.col("w").alias("u"), F.col("m").alias("v"))
     else:
         least = links.groupBy("u").agg(F.min("v").alias("m"))
-        near = links.join(least, "u")
+        near = _with_least(links, least)
         moved = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return moved.where("u > v").distinct()
 
