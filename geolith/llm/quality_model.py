@@ -96,11 +96,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("g_quality"), pa.array(list(_features(b.column("text"))), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("g_id")).drop("g_id")  # at most ``sample`` rows
-    return rows.mapInArrow(measure, "doc_id long, quality int, x array<double>")
+    measured = rows.mapInArrow(measure, "doc_id long, quality int, x array<double>")
+    return measured.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))  # of rows that repeat a doc_id, the first in order
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    rows = sorted((r["doc_id"], r["quality"], tuple(r["x"])) for r in training_rows(docs, labels, sample).limit(2 * sample).collect())
+    rows = sorted((r["doc_id"], r["quality"], tuple(r["x"])) for r in training_rows(docs, labels, sample).collect())  # at most ``sample`` rows
     x = np.array([r[2] for r in rows]) if rows else np.zeros((0, 0))
     return fit(x, np.array([r[1] for r in rows], float))
 
