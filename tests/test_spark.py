@@ -230,6 +230,21 @@ def test_files_by_spark(spark, tmp_path, fmt, ext):
     assert len(back) == 3 and all(r.geom.type in ("Point", "LineString", "Polygon", "MultiLineString") for r in back)
 
 
+def test_line_formats(spark, tmp_path):
+    from geolith.sources.text import read_csv, read_wkt, write_wkt
+
+    out = str(tmp_path / "wkt")
+    df = spark.createDataFrame([(base.geom_row(g),) for g in every_type()] + [(None,)], f"geom {model.GEOMETRY}")
+    write_wkt(df, out)
+    assert sorted(r.line for r in read_wkt(spark, out).collect()) == sorted(wkt.dump(g) for g in every_type())
+    (tmp_path / "a.csv").write_text('name,WKT,n\n"x, ""y""",POINT (1 2),5\nz,,\n')
+    (tmp_path / "b.csv").write_text("lon,lat,ok\n1,2,true\nbad,2,\n")
+    a, b = (read_csv(spark, str(tmp_path / n)).collect() for n in ("a.csv", "b.csv"))
+    plain = lambda rows: [(None if r.geom is None else wkt.dump(base.geom_of(r.geom.asDict(True))), {p_.key: base.untag(p_.value.asDict()) for p_ in r.props}) for r in rows]
+    assert plain(a) == [("POINT (1 2)", {"name": 'x, "y"', "n": 5}), (None, {"name": "z"})]
+    assert plain(b) == [("POINT (1 2)", {"ok": True}), (None, {})]
+
+
 def test_shapefile_folders(spark, tmp_path):
     bundle = Layer(children=[Layer("blocks", features=polygons().features[:1]), Layer("islands", features=polygons().features[1:])])
     folder = str(tmp_path / "bundle")
