@@ -59,7 +59,9 @@ def pieces(docs: DataFrame, longest: int = max(LENGTHS)) -> DataFrame:
     """doc_id, copy, piece, start, n_tokens: a row per piece."""
     sized = docs.select("doc_id", F.size(words(text_or_empty())).cast("long").alias("n"))
     numbered = sized.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("copies"))  # rows that repeat a doc_id
-    each = numbered.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    blocks = numbered.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 1000))))  # in two steps: no long arrays
+    first = F.col("block") * 1000
+    each = blocks.select("doc_id", "n", F.explode(F.sequence(first, F.least(F.col("copies") - 1, first + 999))).alias("copy"))
     cuts = F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(F.col("n"), F.lit(1)) - 1) / longest))
     return each.select("doc_id", "copy", "n", F.explode(cuts).alias("piece")).select(
         "doc_id", "copy", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - F.col("piece") * longest).alias("n_tokens")
