@@ -136,8 +136,9 @@ def _classes(prints: DataFrame, lanes: list[str], find) -> DataFrame:
     reached = components(find(kinds))
     label = F.coalesce("component", "f0").alias("g_label")
     named = kinds.join(reached, F.col("f0") == F.col("node"), "left").select(*lanes, label, "g_least")
-    least = named.groupBy("g_label").agg(F.min("g_least").alias("component_id"))
-    return prints.join(named.drop("g_least"), lanes).join(least, "g_label").drop("g_label")
+    least = named.groupBy("g_label").agg(F.min("g_least").alias("component_id")).select(F.bitwise_not("g_label").alias("g_not"), "component_id")
+    labelled = prints.join(named.drop("g_least"), lanes)
+    return labelled.join(least, F.bitwise_not("g_label") == F.col("g_not")).drop("g_label", "g_not")  # dealt anew, so Spark can split at a large component
 
 
 def _forest(f: np.ndarray, limit: int) -> list[tuple[int, int]]:
