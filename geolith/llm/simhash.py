@@ -137,7 +137,9 @@ def _classes(prints: DataFrame, lanes: list[str], find) -> DataFrame:
     label = F.coalesce("component", "f0").alias("g_label")
     named = kinds.join(reached, F.col("f0") == F.col("node"), "left").select(*lanes, label, "g_least")
     least = named.groupBy("g_label").agg(F.min("g_least").alias("component_id")).select(F.bitwise_not("g_label").alias("g_not"), "component_id")
-    labelled = prints.join(named.drop("g_least"), lanes)
+    keys = named.select(F.bitwise_not("f0").alias("k0"), *[F.col(n).alias(f"k{i}") for i, n in enumerate(lanes) if i], "g_label")
+    same = reduce(Column.__and__, [F.bitwise_not("f0") == F.col("k0"), *[F.col(n) == F.col(f"k{i}") for i, n in enumerate(lanes) if i]])
+    labelled = prints.join(keys, same).drop(*[f"k{i}" for i in range(len(lanes))])  # likewise at a fingerprint with many copies
     return labelled.join(least, F.bitwise_not("g_label") == F.col("g_not")).drop("g_label", "g_not")  # dealt anew, so Spark can split at a large component
 
 
