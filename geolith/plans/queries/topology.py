@@ -156,8 +156,8 @@ _EDGES = "e AS (SELECT k, x0, y0, x0 + n AS x1, y0 + n / 2 AS y1 FROM px UNION A
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A triangle for every eighth part."""
-    s = fx.part_squares(spark, sf_dir).where("k % 8 = 0").select("k", ((F.col("x") + 180) * 1.75).alias("x0"), ((85 - F.col("y")) * 1.75).alias("y0"), (F.col("side") * 64 * 0.75).alias("n"))
+    """A triangle for every part."""
+    s = fx.part_squares(spark, sf_dir).select("k", ((F.col("x") + 180) * 1.75).alias("x0"), ((85 - F.col("y")) * 1.75).alias("y0"), (F.col("side") * 64 * 0.75).alias("n"))
     x, y, n = F.col("x0"), F.col("y0"), F.col("n")
     corners = [(x, y), (x + n, y + n / 2), (x + n / 4, y + n)]
     edge = lambda a, b: F.struct(a[0].alias("x0"), a[1].alias("y0"), b[0].alias("x1"), b[1].alias("y1"))
