@@ -53,9 +53,10 @@ def blend_pixels(paint: DataFrame, background: tuple[int, int, int, int]) -> Dat
 
 def png_filter_scores(rows: DataFrame) -> DataFrame:
     """rows: y, bytes (array of 0 to 255) -> y, scores of the five filters, and the first of the smallest."""
-    above = F.coalesce(F.lag("bytes").over(Window.orderBy("y")), F.transform("bytes", lambda _: F.lit(0)))  # an image's rows: bounded by its height
+    before = F.lag("bytes").over(Window.orderBy("y"))  # an image's rows: bounded by its height
+    above = F.transform("bytes", lambda _, i: F.coalesce(F.get("before", i), F.lit(0)))  # as long as the row
     shift = lambda v: F.slice(F.concat(F.array(*[F.lit(0)] * 4), v), 1, F.size(v))
-    wide = rows.withColumn("above", above).withColumns({"left": shift(F.col("bytes")), "corner": shift(F.col("above"))})
+    wide = rows.withColumn("before", before).withColumn("above", above).withColumns({"left": shift(F.col("bytes")), "corner": shift(F.col("above"))})
     cells = F.zip_with(F.zip_with("bytes", "above", lambda x, b: F.struct(x.alias("x"), b.alias("b"))), F.zip_with("left", "corner", lambda a, c: F.struct(a.alias("a"), c.alias("c"))), lambda p, q: F.struct(p["x"].alias("x"), p["b"].alias("b"), q["a"].alias("a"), q["c"].alias("c")))
 
     def paeth(v: Column) -> Column:

@@ -211,7 +211,7 @@ def blend_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def png_filter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fx.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("y"), F.col("o_orderkey").alias("i"), (F.col("o_orderkey") * 37 % 256).cast("int").alias("v"))
-    rows = o.groupBy("y").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]), 1, 80).alias("bytes"))
+    rows = o.groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("bytes"))
     s = R.png_filter_scores(rows)
     return s.select("y", F.array_join(F.transform("scores", lambda v: v.cast("string")), ",").alias("scores"), "filter")
 

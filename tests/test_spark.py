@@ -421,3 +421,33 @@ def test_raster_takes_every_part(spark, sf_dir, name):
     got = sorted(map(tuple, queries[name](spark, sf_dir).collect()))
     assert got == whole(sql[name], " WHERE k % 8 = 0")
     assert len({r[0] for r in got}) > 100  # of 200 parts; some triangles are too small or off the canvas for a span
+
+
+def test_png_scores_take_whole_rows(spark):
+    rows = [(0, [1, 255] * 60), (1, [7] * 5), (2, [3, 200, 90] * 50)]
+    got = {r.y: r for r in R.png_filter_scores(spark.createDataFrame(rows, "y int, bytes array<int>")).collect()}
+    above = []
+    for y, row in rows:
+        totals = [0] * 5
+        for i, v in enumerate(row):
+            a, b, c = (row[i - 4] if i >= 4 else 0), (above[i] if i < len(above) else 0), (above[i - 4] if 4 <= i < len(above) + 4 else 0)
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            for k, guess in enumerate((0, a, b, (a + b) // 2, near)):
+                d = (v - guess) % 256
+                totals[k] += min(d, 256 - d)
+        assert (list(got[y].scores), got[y]["filter"]) == (totals, totals.index(min(totals)))
+        above = row
+
+
+def test_png_query_scores_every_order(spark, sf_dir, tmp_path):
+    import duckdb
+    from geolith.plans import catalogue
+
+    duckdb.sql(f"COPY (SELECT o_orderkey + 10000 * g AS o_orderkey, o_custkey FROM '{sf_dir}/orders.parquet', range(4) t(g)) TO '{tmp_path}/orders.parquet'")
+    queries, sql = catalogue.load()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    cut = " WHERE x <= 80"
+    assert cut in sql["png_filter_scores"]
+    want = con.execute(sql["png_filter_scores"].replace(cut, "")).fetchall()
+    assert sorted(map(tuple, queries["png_filter_scores"](spark, str(tmp_path)).collect())) == sorted(want)
