@@ -10,8 +10,9 @@ distance 2 exactly if they are both within one bit of a common value, so each is
 a value link to its smallest: as many links as rows, and the same components. (For d = 2; other distances pair all keys.)
 
 ``wide_links`` serves looser similarity (0.8 of five-word shingles is about 15 % of the bits): fingerprints of several hash lanes,
-16-bit blocks as keys, the distance over all lanes as the proof. Members of a key link along a spanning forest of the close
-pairs among them, so a key gives fewer links than it has members.
+16-bit blocks as keys, the distance over all lanes as the test. Members of a key link along a spanning forest of the close
+pairs among them, so a key gives fewer links than it has members. These links are candidates: ``confirmed`` compares the sets of
+shingles of all texts that they connect, and only pairs of Jaccard similarity ``SIMILAR`` or more link.
 
 Defined results: null and empty texts have no words and fingerprint zero; a text shorter than a shingle is one shingle; rows that
 repeat a doc_id are rows of their own; an empty table gives no rows; other columns are ignored.
@@ -37,6 +38,10 @@ BITS = 64
 #: Hamming distance as a part of all bits that five-word shingles of Jaccard similarity 0.8 differ in, about: 0.15, and room for chance.
 NEAR_PART = 0.17
 LANES = 8
+#: The Jaccard similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Members of a candidate class per block; each pair of blocks is compared on its own.
+TILE = 64
 
 
 def _shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -131,14 +136,15 @@ def near_classes(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFr
 
 
 def _classes(prints: DataFrame, lanes: list[str], find) -> DataFrame:
-    """prints with component_id. Nodes are fingerprints (their first lane), so texts that share a doc_id are not linked by it."""
+    """prints with component_id. Nodes are fingerprints or texts (by the first column), so texts that share a doc_id are not linked by it."""
+    node = lanes[0]
     kinds = cut(prints.groupBy(*lanes).agg(F.min("doc_id").alias("g_least")))
     reached = components(find(kinds))
-    label = F.coalesce("component", "f0").alias("g_label")
-    named = kinds.join(reached, F.col("f0") == F.col("node"), "left").select(*lanes, label, "g_least")
+    label = F.coalesce("component", node).alias("g_label")
+    named = kinds.join(reached, F.col(node) == F.col("node"), "left").select(*lanes, label, "g_least")
     least = named.groupBy("g_label").agg(F.min("g_least").alias("component_id")).select(F.bitwise_not("g_label").alias("g_not"), "component_id")
-    keys = named.select(F.bitwise_not("f0").alias("k0"), *[F.col(n).alias(f"k{i}") for i, n in enumerate(lanes) if i], "g_label")
-    same = reduce(Column.__and__, [F.bitwise_not("f0") == F.col("k0"), *[F.col(n) == F.col(f"k{i}") for i, n in enumerate(lanes) if i]])
+    keys = named.select(F.bitwise_not(node).alias("k0"), *[F.col(n).alias(f"k{i}") for i, n in enumerate(lanes) if i], "g_label")
+    same = reduce(Column.__and__, [F.bitwise_not(node) == F.col("k0"), *[F.col(n) == F.col(f"k{i}") for i, n in enumerate(lanes) if i]])
     labelled = prints.join(keys, same).drop(*[f"k{i}" for i in range(len(lanes))])  # likewise at a fingerprint with many copies
     return labelled.join(least, F.bitwise_not("g_label") == F.col("g_not")).drop("g_label", "g_not")  # dealt anew, so Spark can split at a large component
 
@@ -172,7 +178,7 @@ def _forest(f: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
 
 def wide_links(reps: DataFrame, lanes: int, limit: int) -> DataFrame:
-    """reps (f0, f1, ...) -> links (a, b) between first lanes of those within ``limit`` bits over all lanes that share a 16-bit block."""
+    """reps (tag, f0, f1, ...) -> links (a, b) between tags of those within ``limit`` bits over all lanes that share a 16-bit block."""
     names = [f"f{i}" for i in range(lanes)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +186,7 @@ def wide_links(reps: DataFrame, lanes: int, limit: int) -> DataFrame:
             f = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], 1).view(np.uint64)
             blocks = np.ascontiguousarray(f.astype("<u8")).view("<u2")  # a row's blocks
             keys = blocks.astype(np.int64) + (np.arange(blocks.shape[1], dtype=np.int64) << 16)
-            rep = np.repeat(b.column("f0").to_numpy(), blocks.shape[1])
+            rep = np.repeat(b.column("tag").to_numpy(), blocks.shape[1])
             wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * lanes), len(rep), [None, pa.py_buffer(np.repeat(np.ascontiguousarray(f), blocks.shape[1], axis=0).tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep), wide.cast(pa.binary())], ["key", "rep", "wide"])
 
@@ -205,15 +211,87 @@ def wide_links(reps: DataFrame, lanes: int, limit: int) -> DataFrame:
         if out := done():
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    dealt = reps.select(*names).mapInArrow(deal, "key long, rep long, wide binary")
+    dealt = reps.select("tag", *names).mapInArrow(deal, "key long, rep long, wide binary")
     return dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(join, "a long, b long").distinct()
 
 
+def _similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (i, j) that join each set to all it reaches over pairs of Jaccard similarity ``SIMILAR`` or more; fewer links than sets."""
+    n, (part, whole) = len(sets), SIMILAR
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = np.bincount(column, minlength=len(values)) > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n))
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):  # in runs of columns: long texts have many
+        lo, hi = np.searchsorted(column, (a, a + 8192))
+        has = np.zeros((n, 8192), np.float32)
+        has[row[lo:hi], column[lo:hi] - a] = 1
+        both += has @ has.T
+    near = (part + whole) * both >= part * (sizes[:, None] + sizes)
+    found, left = [], np.ones(n, bool)
+    for i in range(n):
+        queue = [i] if left[i] else []
+        left[i] = False
+        while queue:
+            at = queue.pop()
+            new = np.flatnonzero(near[at] & left)
+            left[new] = False
+            found += [(at, int(k)) for k in new]
+            queue += new.tolist()
+    return found
+
+
+def confirmed(docs: DataFrame, kinds: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
+    """Candidate links between tags -> links whose components are those of all similar pairs within the candidates' components.
+
+    A text is shipped once, as the hashes of its shingles, and a large component is cut into blocks whose pairs are compared apart.
+    """
+    groups = components(candidates).join(kinds.select("tag", "g_least"), F.col("node") == F.col("tag")).select("tag", "g_least", "component")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("t"), text_or_empty().alias("text"))
+    mine = texts.join(groups, (F.col("t") == F.col("tag")) & F.col("doc_id").eqNullSafe(F.col("g_least"))).select("tag", "component", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [np.unique(_shingle_hashes(x.as_py(), shingle)).tobytes() for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("tag"), b.column("component"), pa.array(hashes, pa.binary())], ["tag", "component", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def done() -> pa.RecordBatch:
+            tags = list(held)
+            out = _similar([np.frombuffer(held[x], np.uint64) for x in tags]) if len(tags) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([tags[x[i]] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for *tile, tag, hashes in zip(*[b.column(c).to_pylist() for c in ("component", "i", "j", "tag", "hashes")], strict=True):
+                if tile != now:
+                    if held:
+                        yield done()
+                    now, held = tile, {}
+                held[tag] = hashes  # rows that repeat a doc_id and text are one
+        if held:
+            yield done()
+
+    hashed = cut(mine.mapInArrow(sets, "tag long, component long, hashes binary"))
+    large = hashed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("blocks")).where("blocks > 1").withColumnRenamed("component", "large")
+    placed = hashed.join(F.broadcast(large), F.col("component") == F.col("large"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 OR other <> block")  # pairs in a block meet beside each other block
+    tiles = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "tag", "hashes")
+    return tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_classes_wide(docs: DataFrame, shingle: int = 5, lanes: int = LANES, part: float = NEAR_PART) -> DataFrame:
-    """doc_id, tag and component_id of documents whose five-word shingles are about 0.8 similar or more."""
+    """doc_id, tag and component_id of documents whose sets of five-word shingles are at least 0.8 similar, or linked by such."""
     names = [f"f{i}" for i in range(lanes)]
     prints = cut(fingerprints(docs, shingle, lanes))
-    return _classes(prints, names, lambda kinds: wide_links(kinds, lanes, int(part * BITS * lanes))).select("doc_id", "tag", "component_id")
+    found = lambda kinds: confirmed(docs, kinds, wide_links(kinds, lanes, int(part * BITS * lanes)), shingle)
+    return _classes(prints, ["tag", *names], found).select("doc_id", "tag", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a plain version, on documents with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -276,3 +277,38 @@ def test_digest_queries_on_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = {i: (n, g, hashlib.sha256(b" ".join(k)).hexdigest()) for i, n, g, _, k in brute_substrings([tuple(d) for d in docs], words, 50)}
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in r.collect()} == want
+
+
+def changed(r, base, n):
+    """base with n of its words replaced, at least five apart."""
+    w, at = list(base), r.sample(range(len(base) // 6), n)
+    for i in at:
+        w[i * 6 + 2] = f"new{r.random()}"
+    return " ".join(w)
+
+
+def similarity(a, b):
+    a, b = (set(simhash._shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("tile", [2, 64])
+def test_near_classes_wide_confirms_similarity(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    r = random.Random(3)
+    texts = []
+    while len(texts) < 24:  # pairs under 0.8 that the distance alone would link
+        base = [f"w{r.random()}" for _ in range(300)]
+        other = changed(r, base, 8)
+        far = simhash.fingerprint_lanes(" ".join(base), 5, 8) ^ simhash.fingerprint_lanes(other, 5, 8)
+        if np.bitwise_count(far).sum() <= simhash.NEAR_PART * 512:
+            texts += [" ".join(base), other, changed(r, base, 2), changed(r, base, 3)]
+    rows = [(i, t, "en", "s", 1, "", "", 0) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.component_id for x in simhash.near_classes_wide(documents(spark, rows)).collect()}
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if similarity(texts[i], texts[j]) >= 0.8:
+                    want[i] = want[j] = min(want[i], want[j])
+    assert got == dict(enumerate(want)) and len(set(want)) > len(texts) // 4
