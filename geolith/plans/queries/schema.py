@@ -164,7 +164,7 @@ def label_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = fx.part_squares(spark, sf_dir).select(F.concat(F.lit("part "), F.col("k").cast("string")).alias("label"), "geom", "k")
     c = fx.customer_points(spark, sf_dir).select(F.concat(F.lit("customer "), F.col("k").cast("string")).alias("label"), model.point(model.position(F.col("lon"), F.col("lat"))).alias("geom"), "k")
-    both = p.unionByName(c).where("k % 4 = 0").select("label", F.round(G.label_priority(F.col("geom")), 9).alias("priority"))
+    both = p.unionByName(c).select("label", F.round(G.label_priority(F.col("geom")), 9).alias("priority"))
     return numbered(both, [F.desc("priority"), "label"], "place", start=1).select("label", F.col("place").cast("int").alias("place"))
 
 

@@ -451,3 +451,12 @@ def test_png_query_scores_every_order(spark, sf_dir, tmp_path):
     assert cut in sql["png_filter_scores"]
     want = con.execute(sql["png_filter_scores"].replace(cut, "")).fetchall()
     assert sorted(map(tuple, queries["png_filter_scores"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_label_rank_takes_every_label(spark, sf_dir):
+    from geolith.plans import catalogue
+
+    queries, sql = catalogue.load()
+    got = sorted(map(tuple, queries["label_rank"](spark, sf_dir).collect()))
+    assert got == whole(sql["label_rank"], " WHERE k % 4 = 0")
+    assert len(got) == 200 + 150
