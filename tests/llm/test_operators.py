@@ -219,24 +219,67 @@ def test_best_fit_is_tight():
     assert len(bins) == len(sizes) and sum(sizes) / sum(used) > 0.98
 
 
-def test_topk(spark):
-    r = np.random.default_rng(2)
-    v = [(i, [float(x) for x in r.normal(0, 0.1, 16)]) for i in range(300)] + [(i, [0.5] * 16) for i in range(300, 340)]
-    v += [(400, None), (420, [None] * 16), (440, [float("nan")] * 16), (460, [float("inf")] * 16), (480, [0.1] * 8), (None, [0.2] * 16)]
+def plain_top_k(v, k=20):
+    """Of (vec_id, embedding) rows, by scoring every pair."""
+    one = {}
+    for i, e in v:
+        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
+            e = [float(np.float32(x)) for x in e]
+            one[i] = min(one.get(i, e), e)
+    wide = max(map(len, one.values()), default=0)
+    ids = np.array(sorted(one))
+    m = np.array([np.floor(64 * np.array(one[i] + [0.0] * (wide - len(one[i])))) for i in ids]).reshape(len(ids), wide)
+    out = {}
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = m @ m[at]
+        out[int(ids[at])] = [(int(ids[j]), int(s[j])) for j in np.lexsort((ids, -s)) if j != at][:k]
+    return out
+
+
+def found_top_k(df):
     got = defaultdict(list)
-    for x in topk.top_k(spark.createDataFrame(v, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+    for x in topk.top_k(df).orderBy("query_id", "rank").collect():
         got[x.query_id].append((x.vec_id, x.score))
-    ok = {i: np.floor(64 * np.pad(np.array(e, np.float32).astype(float), (0, 16 - len(e)))).astype(int) for i, e in v if i is not None and e and None not in e and np.isfinite(e).all()}
-    for q in ok:
-        if q % 20 == 0:
-            scored = sorted(((-int(ok[q] @ e), i) for i, e in ok.items() if i != q))[:20]
-            assert got[q] == [(i, -s) for s, i in scored]
-    assert set(got) == {q for q in ok if q % 20 == 0}
+        assert x["rank"] == len(got[x.query_id])
+    return got
+
+
+@pytest.mark.parametrize("block, run, group, chunk", [(1024, 8, 512, 256), (16, 2, 3, 2)])
+def test_topk(spark, monkeypatch, block, run, group, chunk):
+    for name, value in zip(("BLOCK", "RUN", "GROUP", "CHUNK"), (block, run, group, chunk), strict=True):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(2)
+    v = [(i, [float(x) for x in r.normal(0, 0.1, 16)]) for i in range(300)] + [(i, [0.5] * 16) for i in range(300, 370)]  # the last ones all alike
+    v += [(400, None), (420, [None] * 16), (440, [float("nan")] * 16), (460, [float("inf")] * 16), (480, [0.1] * 8), (500, []), (520, [90.0] * 3), (540, [3000.0, -1.5]), (None, [0.2] * 16)]
+    v += [(20, v[20][1]), (21, v[21][1]), (40, [9.0] * 16), (41, [-9.0] * 16)]  # vec_ids given twice
+    rows = [(i, e, i, "x", i) for i, e in v]  # columns that clash with the operator's own
+    got = found_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, run long, vec string, `rank` long"))
+    assert got == plain_top_k(v)
+
+
+def test_topk_of_few_rows(spark):
+    ddl = "vec_id long, embedding array<float>"
+    assert topk.top_k(spark.createDataFrame([], ddl)).count() == 0
+    assert found_top_k(spark.createDataFrame([(20, [1.0])], ddl)) == {}
+    assert found_top_k(spark.createDataFrame([(1, [1.0]), (2, [2.0])], ddl)) == {}
+    assert found_top_k(spark.createDataFrame([(0, [1.0]), (20, [2.0]), (3, [2.0])], ddl)) == {0: [(3, 8192), (20, 8192)], 20: [(3, 16384), (0, 8192)]}
+
+
+def test_topk_skips_blocks_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "RUN", 2)
+    r = np.random.default_rng(4)
+    centers = r.normal(0, 1, (40, 24))
+    v = [(i, [float(np.float32(x)) for x in centers[r.integers(40)] + r.normal(0, 0.05, 24)]) for i in range(4000)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    done = topk.found(topk._placed(df), 20, 20).select("group", "run", "work").distinct().agg({"work": "sum"}).first()[0]
+    assert done < 0.5 * 200 * 4000
+    assert found_top_k(df) == plain_top_k(v)
 
 
 def test_topk_beyond_floats():
     big = np.array([[2.0**40, 3.0], [2.0**40, -5.0]])
-    row, who, score = topk.search_run(np.array([7]), np.array([[2.0**20, 1.0]]), np.array([1, 2]), big, 5, 1)
+    row, who, score, _ = topk.search_run(np.array([[2.0**20, 1.0]]), np.array([1, 2]), big, 5, 1)
     assert who.tolist() == [1, 2] and score.tolist() == [2**60 + 3, 2**60 - 5]
 
 
