@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,10 @@ from .common import partitions
 PIECE = 1 << 18
 #: Anchors that a task holds before it writes them out.
 FLUSH = 1 << 21
+#: Words up to so many bytes are hashed together, longer ones one by one.
+LONG = 128
+#: Buckets that keys or doc_ids are dealt to at most.
+BUCKETS = 1 << 24
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
 _BREAK[[9, 10, 11, 12, 13, 32]] = True
@@ -63,6 +68,37 @@ def rolling(values: np.ndarray, k: int, powers: Powers = _POWERS) -> np.ndarray:
     return mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
 
 
+#: A prime, so that in arithmetic modulo it no string of values has a power of two in its polynomial.
+PRIME = (1 << 31) - 1
+
+
+class PrimePowers:
+    """Powers modulo ``PRIME`` of a base and of its inverse, as far as they were needed."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, PRIME)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            self.up, self.down = (np.concatenate((x, x * _U(pow(b, len(x), PRIME)) % _U(PRIME))) for x, b in ((self.up, self.base), (self.down, self.inverse)))
+        return self.up, self.down
+
+
+_PRIME_POWERS = PrimePowers(5**13)
+
+
+def rolling_prime(values: np.ndarray, k: int) -> np.ndarray:
+    """Rabin-Karp hashes modulo ``PRIME`` of all strings of k values."""
+    n = len(values)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    up, down = _PRIME_POWERS.to(n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(values % _U(PRIME) * up[:n] % _U(PRIME), out=prefix[1:])
+    return (prefix[k:] - prefix[:-k]) % _U(PRIME) * down[: n - k + 1] % _U(PRIME)
+
+
 def word_spans(buf: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in buf, which also end at the edges between documents."""
     if not len(buf):
@@ -77,19 +113,21 @@ def word_spans(buf: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word. Text goes in pieces that end between words, so the powers needed stay few."""
-    out = np.zeros(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + 4 * PIECE, "right")))
-        lo, hi = starts[a], ends[b - 1]
-        up, down = _POWERS.to(int(hi - lo) + 1)
-        prefix = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[buf[lo:hi]] * up[: hi - lo], out=prefix[1:])
-        s, e = starts[a:b] - lo, ends[a:b] - lo
-        out[a:b] = mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-        a = b
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each word: its pieces of eight bytes are mixed in one after another, so words of one length that differ in one
+    piece never meet, and no polynomial identity of the bytes makes others meet. Words over ``LONG`` bytes go through XXH3."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(seed * _BASE % 2**64))
+    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), strides=(1,))  # the eight bytes from each place on
+    live, step = np.flatnonzero(size <= LONG), 0
+    while len(live):
+        left = np.minimum(size[live] - step, 8).astype(np.uint64)
+        piece = eight[starts[live] + step] & (_U(2**64 - 1) >> (_U(64) - left * _U(8)))
+        out[live] = mix(out[live] * _U(0x9FB21C651E98DF25) ^ piece)
+        step += 8
+        live = live[size[live] > step]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed)
     return out
 
 
@@ -112,6 +150,12 @@ def tokens(buf: np.ndarray, at: np.ndarray, words: bool) -> tuple[np.ndarray, np
     return word_hashes(buf, starts, ends), np.searchsorted(starts, at)
 
 
+def word_pairs(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As tokens, with two independent values per word."""
+    starts, ends = word_spans(buf, at)
+    return word_hashes(buf, starts, ends), word_hashes(buf, starts, ends, 1), np.searchsorted(starts, at)
+
+
 def _slide(op, a: np.ndarray, w: int) -> np.ndarray:
     done = 1
     while 2 * done <= w:
@@ -202,9 +246,14 @@ def witnesses(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return ship
 
 
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key by its upper 32 bits."""
+    return ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
+
+
 def dealt(doc: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
     """Numbers (of 32 bits) about documents, packed: a row per bucket of doc_ids."""
-    bucket = ((mix(doc.view(np.uint64)) >> _U(48)) * _U(buckets) >> _U(16)).astype(np.uint16)
+    bucket = bucket_of(mix(doc.view(np.uint64)), buckets)
     order = np.argsort(bucket, kind="stable")
     starts = runs(bucket[order])
     cuts = list(zip(starts, np.append(starts[1:], len(order)), strict=True))
@@ -247,12 +296,12 @@ def prepared(docs: DataFrame) -> DataFrame:
 def copies(docs: DataFrame) -> DataFrame:
     """g_id and g_copies: (tag, smallest doc_id) of each of its texts that a smaller doc_id has too.
 
-    Whole texts meet through 128 bits of hash and the length, pre-aggregated in each task.
+    Whole texts meet through their SHA-256, pre-aggregated in each task.
     """
-    keyed = prepared(docs).where("doc_id IS NOT NULL").select("doc_id", "g_tag", F.xxhash64(F.lit(7), "g_text", F.lit(7)).alias("k"), F.octet_length("g_text").alias("n"))
-    first = keyed.groupBy("g_tag", "k", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    first = first.select(F.bitwise_not("g_tag").alias("g_not"), F.col("k").alias("k2"), F.col("n").alias("n2"), "first")  # so both sides are dealt anew, and Spark can split a large class
-    later = keyed.join(first, (F.bitwise_not("g_tag") == F.col("g_not")) & (F.col("k") == F.col("k2")) & (F.col("n") == F.col("n2"))).where("doc_id > first")
+    keyed = prepared(docs).where("doc_id IS NOT NULL").select("doc_id", "g_tag", F.unhex(F.sha2("g_text", 256)).alias("k"))
+    first = keyed.groupBy("g_tag", "k").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = first.select(F.bitwise_not("g_tag").alias("g_not"), F.col("k").alias("k2"), "first")  # so both sides are dealt anew, and Spark can split a large class
+    later = keyed.join(first, (F.bitwise_not("g_tag") == F.col("g_not")) & (F.col("k") == F.col("k2"))).where("doc_id > first")
     return later.groupBy(F.col("doc_id").alias("g_id")).agg(F.collect_set(F.struct(F.col("g_tag").alias("tag"), F.col("first").alias("first"))).alias("g_copies"))
 
 
@@ -272,7 +321,7 @@ def is_copy(batch: pa.RecordBatch) -> np.ndarray:
 def repeated_anchors(docs: DataFrame, k: int, length: int, words: bool) -> DataFrame:
     """docs as of with_copies -> g_id, g_at: positions (32 bits each) of anchors of first copies that occur in two documents or more."""
     spark = docs.sparkSession
-    buckets, document_buckets = min(1 << 16, 2 * partitions(spark)), min(1 << 16, partitions(spark))
+    buckets, document_buckets = min(BUCKETS, 2 * partitions(spark)), min(BUCKETS, partitions(spark))
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -284,7 +333,7 @@ def repeated_anchors(docs: DataFrame, k: int, length: int, words: bool) -> DataF
             sure = dealt(doc[~ship], {"place": place[~ship]}, document_buckets)
             yield pa.RecordBatch.from_arrays([sure.column("bucket"), pa.nulls(sure.num_rows, pa.binary()), sure.column("doc"), sure.column("place")], ["bucket", "key", "doc", "place"])
         key, doc, place = key[ship], doc[ship], place[ship]
-        bucket = ((key >> _U(48)) * _U(buckets) >> _U(16)).astype(np.uint16)
+        bucket = bucket_of(key, buckets)
         order = np.argsort(bucket, kind="stable")
         key, doc, place, bucket = key[order], doc[order], place[order], bucket[order]
         starts = runs(bucket)
@@ -318,7 +367,7 @@ def repeated_anchors(docs: DataFrame, k: int, length: int, words: bool) -> DataF
                     continue
                 low = np.zeros((8, len(key) // 6), np.uint8)
                 low[:6] = np.frombuffer(key, np.uint8).reshape(6, -1)
-                keys.append(np.ascontiguousarray(low.T).view("<u8").ravel() | _U(bucket << 48))
+                keys.append(np.ascontiguousarray(low.T).view("<u8").ravel() | _U((bucket & 0xFFFF) << 48))  # a false meeting only makes a candidate
                 docs.append(unpack_ids(doc))
                 places.append(unpack(place, "<u4"))
         if keys:

@@ -1,10 +1,10 @@
 """Substring dedup by Rabin-Karp: hashes of every fixed-length word window, counted in Spark.
 
-Every window of ``length`` words of a document gets a rolling hash (64 bits, and 32 more of another base). Windows without a
-repeated anchor (module ``anchors``) cannot occur twice and are not shipped. Spark groups the others by hash, takes the smallest
+Every window of ``length`` words of a document gets two rolling hashes over two independent hashes of each word: one modulo 2**64
+(64 bits), one modulo a prime (31 bits). These 95 bits decide which windows are equal. Windows without a repeated anchor (module ``anchors``) cannot occur twice and are not shipped. Spark groups the others by hash, takes the smallest
 doc_id of each, and joins it back; a window that a smaller doc_id has too is repeated, and repeated windows merge into maximal
 intervals of words to remove. The grouping pre-aggregates in each task, and the join back is one that Spark can split at a hot key,
-so a passage in a third of the documents is no bottleneck. Whole texts that a smaller doc_id has are settled by their text hash.
+so a passage in a third of the documents is no bottleneck. Whole texts that a smaller doc_id has are settled by their SHA-256.
 
 Defined results: a null or empty text has no words; texts under ``length`` words keep all; rows with a null doc_id keep all and
 remove nothing elsewhere; rows that repeat a doc_id never remove from one another; an empty table gives no rows; columns of
@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Powers, copies, extended, is_copy, numbers, repeated_anchors, rolling, text_bytes, tokens, with_copies
+from .anchors import copies, extended, is_copy, numbers, repeated_anchors, rolling, rolling_prime, text_bytes, with_copies, word_pairs
 from .common import shielded, table, unshielded
 
 LENGTH = 50
 ANCHOR = 8
-_SECOND = Powers(0xD1342543DE82EF95)
 
 
 def intervals(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +48,7 @@ def _candidates(docs: DataFrame, length: int, k: int) -> DataFrame:
                 continue
             ids, tags = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("g_tag").to_numpy()
             for part in np.array_split(lists, len(lists) // 256 + 1):
-                values, at = tokens(*text_bytes(batch.column("g_text").take(pa.array(part))), True)
+                values, others, at = word_pairs(*text_bytes(batch.column("g_text").take(pa.array(part))))
                 out = []
                 for i, row in enumerate(part):
                     v = values[at[i] : at[i + 1]]
@@ -62,10 +61,10 @@ def _candidates(docs: DataFrame, length: int, k: int) -> DataFrame:
                     np.add.at(mark, np.minimum(np.maximum(p - length + k, 0), n), 1)
                     np.add.at(mark, np.minimum(p + 1, n), -1)
                     s = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                    first, second = rolling(v, length)[s], rolling(v, length, _SECOND)[s]
+                    first, second = rolling(v, length)[s], rolling_prime(others[at[i] : at[i + 1]], length)[s]
                     place = (int(tags[row]) & 0xFFFFFFFF) << 32
                     place -= (place >> 63) << 64
-                    out.append((first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(s), ids[row], np.int64), s + place))
+                    out.append((first.view(np.int64), second.astype(np.int32), np.full(len(s), ids[row], np.int64), s + place))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h1", "h2", "g_id", "g_place"])
 

@@ -4,12 +4,10 @@ A run of ``length`` bytes can only repeat if its anchors do (module ``anchors``)
 (at most ``2 * length - k`` bytes, all runs that hold the anchor) go into suffix arrays. They are dealt to shards by anchor: all
 equal runs meet in one shard. A shard joins its distinct contexts with separators, builds its suffix array by induced sorting
 and the permuted common prefixes; neighbours with a common prefix of ``length`` or more are one string, whose smallest doc_id
-decides for all its places. Comparison is byte by byte, so no hash decides a removal. A shard splits into arrays of bounded size
-between anchors, so memory follows the fullest anchor. Of equal contexts in a task only those of the smallest document are shipped, as
+decides for all its places. Comparison is byte by byte; only whole texts that a smaller doc_id has are settled by a hash, their SHA-256,
+pre-aggregated in each task. A shard splits into arrays of bounded size between anchors, so memory follows the fullest anchor. Of equal contexts in a task only those of the smallest document are shipped, as
 the others are decided by it: a passage in a third of all documents costs a shard its distinct contexts once per task.
 
-Whole texts that a smaller doc_id has are settled by 128 bits of text hash and their length, pre-aggregated in each task.
-
 Defined results: a null text is empty; texts under ``length`` bytes keep all; rows with a null doc_id keep all and remove nothing
 elsewhere; rows that repeat a doc_id never remove from one another; an empty table gives no rows; columns of documents pass
 through under their own names, but for those named as the added ones: n_bytes, n_removed, n_spans and kept (binary).
@@ -24,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import copies, dealt, extended, gathered, is_copy, mix, numbers, pack, pack_ids, repeated_anchors, runs, text_bytes, unpack, unpack_ids, with_copies
+from .anchors import BUCKETS, bucket_of, copies, dealt, extended, gathered, is_copy, mix, numbers, pack, pack_ids, repeated_anchors, runs, text_bytes, unpack, unpack_ids, with_copies
 from .anchors import _BYTE as BYTE_VALUES
 from .common import partitions, shielded, table, unshielded
 from .substring_dedup import intervals
@@ -38,8 +36,8 @@ SHARD = 1 << 21
 
 def _contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Packed contexts of repeated anchors, a row per (task, bucket)."""
-    buckets = min(1 << 16, 2 * partitions(docs.sparkSession))
-    document_buckets = min(1 << 16, partitions(docs.sparkSession))
+    buckets = min(BUCKETS, 2 * partitions(docs.sparkSession))
+    document_buckets = min(BUCKETS, partitions(docs.sparkSession))
     reach, width = length - k, 2 * length - k
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
@@ -57,7 +55,7 @@ def _contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([sure.column("bucket"), none, sure.column("doc"), sure.column("tag"), sure.column("place"), none, none, sure.column("bytes")], ["bucket", "key", "doc", "tag", "place", "left", "size", "bytes"])
         order = order[doc[order] == least]
         order = order[np.argsort(key[order], kind="stable")]  # equal anchors, and so like contexts, side by side: they compress
-        bucket = ((key >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
+        bucket = bucket_of(key, buckets)
         starts = runs(bucket[order])
         inside = np.arange(width) < size[:, None]
         rows = []
@@ -160,7 +158,7 @@ def shard_marks(doc: np.ndarray, left: np.ndarray, size: np.ndarray, wide: np.nd
 def _decide(packed: DataFrame, length: int, k: int) -> DataFrame:
     """g_id and, for each context with something to remove, lower text hash, anchor position and bits of the runs (32 bits each)."""
     reach, width = length - k, 2 * length - k
-    buckets = min(1 << 16, partitions(packed.sparkSession))
+    buckets = min(BUCKETS, partitions(packed.sparkSession))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from geolith.llm import chat_format, mixing, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, topk
+from geolith.llm import anchors, chat_format, mixing, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, topk
 
 from .data import documents, texts, words
 
@@ -56,6 +56,48 @@ def test_substring_dedup(spark):
     assert {r.g_id for r in got.collect()} == {"mine"}
 
 
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_words_that_polynomials_confuse(spark):
+    a = "".join("ab"[x] for x in thue_morse(1024))
+    b = "".join("ba"[x] for x in thue_morse(1024))
+    rest = " ".join(f"w{i}" for i in range(49))
+    swapped = " ".join("xy"[i] for i in thue_morse(64)), " ".join("yx"[i] for i in thue_morse(64))
+    rows = [(i, t, "en", "s", 1, "", "", 0) for i, t in enumerate([f"{a} {rest}", f"{b} {rest}", *swapped])]
+    assert [r.n_removed for r in substring_dedup.remove_repeats(documents(spark, rows)).collect()] == [0, 0, 0, 0]
+
+
+def test_word_hashes_tell_words_apart():
+    r = np.random.default_rng(6)
+    some = {bytes(r.integers(97, 99, int(n), dtype=np.uint8)) for n in r.integers(1, 20, 4000)} | {b"c" * n for n in range(1, 300)}
+    raw = b" ".join(some)
+    buf = np.frombuffer(raw, np.uint8)
+    first, second, at = anchors.word_pairs(buf, np.array([0, len(buf)]))
+    assert len(set(first.tolist())) == len(set(second.tolist())) == len(some) == at[-1]
+    again, _ = anchors.tokens(np.frombuffer(b"x" + raw + b" y", np.uint8)[1:], np.array([0, len(buf) + 2]), True)
+    assert again[:-1].tolist() == first.tolist()
+
+
+def test_very_long_texts(spark):
+    """Documents over two pieces, repeats across the cuts between pieces."""
+    word = lambda tag, a, b: " ".join(f"{tag}{i}" for i in range(a, b))
+    piece = anchors.PIECE
+    long = word("a", 0, 2 * piece + 9000)
+    passage = word("a", piece - 30, piece + 60)
+    other = " ".join([word("b", 0, piece - 20), word("c", 0, 70), word("b", piece, 2 * piece + 50)])
+    texts_ = [long, f"new {passage} end", other, f"{word('c', 0, 70)} tail", None, "", long]
+    rows = [(i, t, "en", "s", 1, "", "", 0) for i, t in enumerate(texts_)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.n_spans) for r in substring_dedup.remove_repeats(documents(spark, rows)).collect()}
+    n = 2 * piece + 9000
+    assert got == {0: (n, 0, 0), 1: (92, 90, 1), 2: (2 * piece + 100, 0, 0), 3: (71, 70, 1), 4: (0, 0, 0), 5: (0, 0, 0), 6: (n, n, 1)}
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(documents(spark, rows)).collect()}
+    assert found[0][1] == found[2][1] == found[4][0] == found[5][0] == 0 and found[6] == (len(long), len(long), 1, b"")
+    assert found[1] == (len(passage) + 8, len(passage) + 2, 1, b"newend")  # the spaces beside the passage are in the long text too
+    assert found[3] == (len(word("c", 0, 70)) + 5, len(word("c", 0, 70)) + 1, 1, b"tail")
+
+
 @pytest.mark.parametrize("run", [suffix_dedup.remove_repeats, substring_dedup.remove_repeats, mixing.mix, sharding.hilbert_shards, simhash.near_classes, simhash.near_classes_wide, quality_rules.judge, packing.pack])
 def test_empty_table(spark, run):
     assert run(documents(spark, [])).count() == 0
