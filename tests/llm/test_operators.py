@@ -254,11 +254,89 @@ def test_packing(spark):
         assert size == {min(c for c in packing.LENGTHS if c >= at)}  # downsized to its contents
 
 
-def test_best_fit_is_tight():
+def plain_fit(sizes, lengths, cost):
+    """The rule on plain lists: best fit (of equal rooms the bin filled last), trial fills, downsizing. (length at opening, length, tokens) of each bin."""
+    left, bins = list(sizes), []  # bins in the order they were last filled
+    for s in sizes:
+        left.remove(s)
+        fitting = [b for b in bins if b[0] - sum(b[1]) >= s]
+        if fitting:
+            chosen = min(reversed(fitting), key=lambda b: b[0] - sum(b[1]))
+            bins = [b for b in bins if b is not chosen]
+        else:
+
+            def per_token(c, s=s):
+                room = c - s
+                for x in sorted(left, reverse=True):
+                    room -= x if x <= room else 0
+                return cost(c) / (c - room)
+
+            chosen = (min((c for c in lengths if c >= s), key=lambda c: (per_token(c), c)), [])
+        chosen[1].append(s)
+        bins.append(chosen)
+    return Counter((c, min(x for x in lengths if x >= sum(b)), sum(b)) for c, b in bins)
+
+
+def test_best_fit_equals_the_plain_rule():
+    r = np.random.default_rng(8)
+    for trial in range(60):
+        lengths = ((8, 16, 32), (5, 7, 12, 40), (64,))[trial % 3]
+        sizes = sorted((int(x) for x in r.integers(1, max(lengths) + 1, r.integers(1, 60))), reverse=True)
+        cost = lambda c, more=trial % 4: c * (1 + c / 60) + more
+        bins, offsets, ends, opened = packing.fit_pieces(sizes, lengths, cost)
+        held = Counter()
+        for b, at, s in zip(bins, offsets, sizes, strict=True):
+            assert held[b] == at
+            held[b] += s
+        assert Counter((opened[b], ends[b], held[b]) for b in held) == plain_fit(sizes, lengths, cost)
+
+
+def best_cost(sizes, lengths, cost):
+    """The least cost of any packing, by trying all partitions."""
+    least = [float("inf")]
+
+    def place(i, bins):
+        if i == len(sizes):
+            least[0] = min(least[0], sum(cost(min(c for c in lengths if c >= b)) for b in bins))
+            return
+        for j in range(len(bins)):
+            if bins[j] + sizes[i] <= max(lengths):
+                place(i + 1, [*bins[:j], bins[j] + sizes[i], *bins[j + 1 :]])
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    return least[0]
+
+
+def test_best_fit_is_near_the_best_of_all():
+    r = np.random.default_rng(9)
+    ratios = []
+    for _ in range(60):
+        sizes = sorted((int(x) for x in r.integers(1, 33, 7)), reverse=True)
+        cost = lambda c: c * (1 + c / 96) + 1
+        ends = packing.fit_pieces(sizes, (8, 16, 32), cost)[2]
+        ratios.append(sum(map(cost, ends)) / best_cost(sizes, (8, 16, 32), cost))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.4 and np.mean(ratios) < 1.08
+
+
+def test_best_fit_opens_several_lengths_and_saves():
     r = np.random.default_rng(5)
     sizes = sorted((int(x) for x in np.clip(r.lognormal(5.5, 1, 20000), 1, 4096)), reverse=True)
-    bins, offsets, used = packing.fit_pieces(sizes)
-    assert len(bins) == len(sizes) and sum(sizes) / sum(used) > 0.98
+    bins, offsets, ends, opened = packing.fit_pieces(sizes)
+    assert len(bins) == len(sizes) and sum(sizes) / sum(ends) > 0.97 and set(opened) == set(packing.LENGTHS)
+    for single in packing.LENGTHS:
+        if single >= sizes[0]:
+            one, _, used, _ = packing.fit_pieces(sizes, (single,))
+            held = Counter()
+            for b, s in zip(one, sizes, strict=True):
+                held[b] += s
+            shrunk = [min(c for c in packing.LENGTHS if c >= held[b]) for b in held]
+            assert sum(map(packing.bin_cost, ends)) < sum(map(packing.bin_cost, shrunk))
+
+
+def test_packing_of_a_table_opens_several_lengths(spark):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("bin_id IS NOT NULL").select("bin_id", "bin_opened", "bin_size").distinct().collect()
+    assert {r.bin_opened for r in got} == set(packing.LENGTHS) and all(r.bin_size <= r.bin_opened for r in got)
 
 
 def plain_top_k(v, k=20):
