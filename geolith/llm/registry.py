@@ -24,4 +24,5 @@ SQL = {
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op10_sharding": sharding.OP10_SQL,
 }

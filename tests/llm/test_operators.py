@@ -433,6 +433,29 @@ def test_sharding(spark):
     assert [r.hilbert for r in order] == sorted(r.hilbert for r in got)
 
 
+def test_sharding_prunes_by_source(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    shards = sharding.hilbert_shards(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("z")).collect()
+    sources = [r[0] for r in docs.select("source").distinct().collect()]
+    opened = [sum(s.a <= v <= s.z for s in shards) / len(shards) for v in sources]
+    assert sum(opened) / len(opened) < 0.4
+
+
+def test_axes_keep_the_order_of_values(spark):
+    rows = [(1, "t", "en", f"host{i:03}") for i in range(200)] + [(2, None, None, None)] + [(3, "t", "", "hot")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = dict(df.select("source", sharding.axis(df, "source").alias("p")).distinct().collect())
+    assert got.pop(None) == 0
+    places = [got[v] for v in sorted(got)]
+    assert places == sorted(places) and set(places) == set(range(1, 32))
+    langs = dict(df.select("lang", sharding.axis(df, "lang").alias("p")).distinct().collect())
+    assert langs[None] == 0 < langs[""] < langs["en"]
+    nulls = spark.createDataFrame([(1, None, None, None)] * 5, "doc_id long, text string, lang string, source string")
+    assert sorted(r.slot for r in sharding.hilbert_shards(nulls, shards=2).where("shard = 0").collect()) == [0, 1, 2]
+
+
 def test_digest_queries_on_tables(spark, sf_dir):
     from geolith.llm.registry import QUERIES
 
