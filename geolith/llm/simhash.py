@@ -9,10 +9,18 @@ by pair. Fingerprints under a fuller key are not paired, since that grows with t
 distance 2 exactly if they are both within one bit of a common value, so each is dealt to its 65 such values, and the members of
 a value link to its smallest: as many links as rows, and the same components. (For d = 2; other distances pair all keys.)
 
-``wide_links`` serves looser similarity (0.8 of five-word shingles is about 15 % of the bits): fingerprints of several hash lanes,
-16-bit blocks as keys, the distance over all lanes as the test. Members of a key link along a spanning forest of the close
-pairs among them, so a key gives fewer links than it has members. These links are candidates: ``confirmed`` compares the sets of
-shingles of all texts that they connect, and only pairs of Jaccard similarity ``SIMILAR`` or more link.
+``wide_links`` serves looser similarity (0.8 of five-word shingles is about 15 % of the bits): fingerprints of several hash lanes, cut into
+blocks of a byte, and triples of blocks as keys (24 bits), one triple per block and pair of ``STEPS``, so that two blocks meet in at most one
+triple. A differing block spoils ``3 * len(STEPS)`` of the ``len(STEPS)`` x blocks keys, so two fingerprints that differ in less than a third of
+their blocks share a key for certain (21 of 64 blocks); beyond that they do by chance, at 15 % of the bits in about 98 of 100 cases. Keys with
+up to ``CROWD`` fingerprints give pairs, whose distance over all lanes Spark verifies. Members of a fuller key are compared in
+``linked``. These links are candidates: ``confirmed`` compares the sets of shingles of all texts that they connect, again in ``linked``, and
+only pairs of Jaccard similarity ``SIMILAR`` or more link.
+
+``linked`` finds links whose components are those of all close pairs in a group, without a task that holds the group: groups of up to ``TILE``
+rows meet whole; in larger ones ``LEADERS`` rows, one after another, take the rows close to them as theirs, and only rows of different
+leaders, or of none, are compared after that, in pairs of blocks of ``TILE`` rows. A group of copies that are all close to one of
+them costs its size; only what no leader takes costs more.
 
 Defined results: null and empty texts have no words and fingerprint zero; a text shorter than a shingle is one shingle; rows that
 repeat a doc_id are rows of their own; an empty table gives no rows; other columns are ignored.
@@ -20,8 +28,8 @@ repeat a doc_id are rows of their own; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -36,12 +44,18 @@ from .graph import components
 SEED = 42
 BITS = 64
 #: Hamming distance as a part of all bits that five-word shingles of Jaccard similarity 0.8 differ in, about: 0.15, and room for chance.
-NEAR_PART = 0.17
+NEAR_PART = 0.19
 LANES = 8
 #: The Jaccard similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
-#: Members of a candidate class per block; each pair of blocks is compared on its own.
+#: Steps from a block to the two others of a key; all differences between the three differ.
+STEPS = ((1, 3), (4, 9), (6, 13))
+#: Fingerprints under one key that are paired outright.
+CROWD = 16
+#: Rows of a group that are compared with each other at once.
 TILE = 64
+#: Rows of a large group that take those close to them before the rest is compared.
+LEADERS = 3
 
 
 def _shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -136,87 +150,41 @@ def near_classes(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFr
 
 
 def _classes(prints: DataFrame, lanes: list[str], find) -> DataFrame:
-    """prints with component_id. Nodes are fingerprints or texts (by the first column), so texts that share a doc_id are not linked by it."""
+    """prints with component_id and first_tag, the smallest tag of its texts in the class. Nodes are fingerprints or texts (by the first column), so texts that share a doc_id are not linked by it."""
     node = lanes[0]
-    kinds = cut(prints.groupBy(*lanes).agg(F.min("doc_id").alias("g_least")))
+    kinds = cut(prints.groupBy(*lanes).agg(F.min(F.struct("doc_id", "tag")).alias("g_first"))).withColumn("g_least", F.col("g_first.doc_id"))
     reached = components(find(kinds))
     label = F.coalesce("component", node).alias("g_label")
-    named = kinds.join(reached, F.col(node) == F.col("node"), "left").select(*lanes, label, "g_least")
-    least = named.groupBy("g_label").agg(F.min("g_least").alias("component_id")).select(F.bitwise_not("g_label").alias("g_not"), "component_id")
+    named = kinds.join(reached, F.col(node) == F.col("node"), "left").select(*lanes, label, "g_first")
+    least = named.groupBy("g_label").agg(F.min("g_first").alias("g_first")).select(F.bitwise_not("g_label").alias("g_not"), F.col("g_first.doc_id").alias("component_id"), F.col("g_first.tag").alias("first_tag"))
     keys = named.select(F.bitwise_not(node).alias("k0"), *[F.col(n).alias(f"k{i}") for i, n in enumerate(lanes) if i], "g_label")
     same = reduce(Column.__and__, [F.bitwise_not(node) == F.col("k0"), *[F.col(n) == F.col(f"k{i}") for i, n in enumerate(lanes) if i]])
     labelled = prints.join(keys, same).drop(*[f"k{i}" for i in range(len(lanes))])  # likewise at a fingerprint with many copies
     return labelled.join(least, F.bitwise_not("g_label") == F.col("g_not")).drop("g_label", "g_not")  # dealt anew, so Spark can split at a large component
 
 
-def _forest(f: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Links (i, j) that join each of the rows of f to all it reaches over pairs within the limit; fewer links than rows.
-
-    Rows near a leader join it first; only rows of different groups are compared after that, tile by tile.
-    """
-    n, found = len(f), []
-    label = np.full(n, -1)
-    leaders = []
-    for i in range(n):
-        if label[i] < 0:
-            near = np.bitwise_count(f ^ f[i]).sum(1, dtype=np.int64) <= limit
-            mine = np.flatnonzero(near & (label < 0))
-            label[mine] = i
-            leaders.append(i)
-            found += [(i, int(j)) for j in mine if j != i]
-    if len(leaders) == 1:
-        return found
-    for a in range(0, n, 512):
-        for b in range(a, n, 512):
-            d = reduce(np.add, (np.bitwise_count(f[a : a + 512, None, c] ^ f[None, b : b + 512, c]).astype(np.uint16) for c in range(f.shape[1])))
-            for i, j in zip(*np.nonzero((d <= limit) & (label[a : a + 512, None] != label[None, b : b + 512])), strict=True):
-                x, y = label[a + i], label[b + j]
-                if x != y:
-                    found.append((int(a + i), int(b + j)))
-                    label[label == y] = x
-    return found
+def _joining(near: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) among near pairs that join all that near pairs join beyond rows of one label (a row without one has its own)."""
+    _, group = np.unique(label, return_inverse=True)
+    found = []
+    while True:
+        open_ = near & (group[:, None] != group)
+        if not open_.any():
+            return found
+        i, j = map(int, np.unravel_index(open_.argmax(), open_.shape))
+        found.append((i, j))
+        group[group == group[j]] = group[i]
 
 
-def wide_links(reps: DataFrame, lanes: int, limit: int) -> DataFrame:
-    """reps (tag, f0, f1, ...) -> links (a, b) between tags of those within ``limit`` bits over all lanes that share a 16-bit block."""
-    names = [f"f{i}" for i in range(lanes)]
+def _close(limit: int, data: list[bytes]) -> np.ndarray:
+    """Which fingerprints are within the limit of each other."""
+    f = np.frombuffer(b"".join(data), np.uint64).reshape(len(data), -1)
+    return np.bitwise_count(f[:, None] ^ f).sum(2, dtype=np.int64) <= limit
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], 1).view(np.uint64)
-            blocks = np.ascontiguousarray(f.astype("<u8")).view("<u2")  # a row's blocks
-            keys = blocks.astype(np.int64) + (np.arange(blocks.shape[1], dtype=np.int64) << 16)
-            rep = np.repeat(b.column("tag").to_numpy(), blocks.shape[1])
-            wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * lanes), len(rep), [None, pa.py_buffer(np.repeat(np.ascontiguousarray(f), blocks.shape[1], axis=0).tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep), wide.cast(pa.binary())], ["key", "rep", "wide"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rep, wide = None, [], []
-
-        def done():
-            if len(rep) < 2:
-                return []
-            f = np.frombuffer(b"".join(wide), np.uint64).reshape(len(rep), lanes)
-            return [(rep[i], rep[j]) for i, j in _forest(f, limit)]
 
-        for b in batches:
-            out = []
-            for k, r, w in zip(b.column("key").to_pylist(), b.column("rep").to_pylist(), b.column("wide").to_pylist(), strict=True):
-                if k != key:
-                    out += done()
-                    key, rep, wide = k, [], []
-                rep.append(r)
-                wide.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-        if out := done():
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    dealt = reps.select("tag", *names).mapInArrow(deal, "key long, rep long, wide binary")
-    return dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(join, "a long, b long").distinct()
-
-
-def _similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (i, j) that join each set to all it reaches over pairs of Jaccard similarity ``SIMILAR`` or more; fewer links than sets."""
+def _similar(data: list[bytes]) -> np.ndarray:
+    """Which sets of hashes have Jaccard similarity ``SIMILAR`` or more with each other."""
+    sets = [np.frombuffer(x, np.uint64) for x in data]
     n, (part, whole) = len(sets), SIMILAR
     sizes = np.fromiter(map(len, sets), np.int64, n)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -231,67 +199,161 @@ def _similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         has = np.zeros((n, 8192), np.float32)
         has[row[lo:hi], column[lo:hi] - a] = 1
         both += has @ has.T
-    near = (part + whole) * both >= part * (sizes[:, None] + sizes)
-    found, left = [], np.ones(n, bool)
-    for i in range(n):
-        queue = [i] if left[i] else []
-        left[i] = False
-        while queue:
-            at = queue.pop()
-            new = np.flatnonzero(near[at] & left)
-            left[new] = False
-            found += [(at, int(k)) for k in new]
-            queue += new.tolist()
-    return found
+    return (part + whole) * both >= part * (sizes[:, None] + sizes)
+
+
+def _settle(near: Callable[[list[bytes]], np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without a label that are close to their group's leader get its tag as label."""
+    for b in batches:
+        label = b.column("label").to_pylist()
+        mine: dict[int, list[int]] = {}
+        for i, (known, lead) in enumerate(zip(label, b.column("lead_tag").to_pylist(), strict=True)):
+            if known is None and lead is not None:
+                mine.setdefault(lead, []).append(i)
+        for lead, at in mine.items():
+            for a in range(0, len(at), TILE):
+                some = at[a : a + TILE]
+                hits = near([b.column("lead_data")[some[0]].as_py(), *(b.column("data")[i].as_py() for i in some)])[0, 1:]
+                for i, hit in zip(some, hits, strict=True):
+                    label[i] = lead if hit else None
+        yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("tag"), b.column("data"), pa.array(label, pa.int64())], ["grp", "tag", "data", "label"])
+
+
+def _compare(near: Callable[[list[bytes]], np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, held = None, {}
+
+    def done() -> pa.RecordBatch:
+        tags = list(held)
+        out = _joining(near([held[x][0] for x in tags]), np.array([x if held[x][1] is None else held[x][1] for x in tags])) if len(tags) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([tags[x[i]] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for b in batches:
+        for tile, tag, data, label in zip(*[b.column(c).to_pylist() for c in ("tile", "tag", "data", "label")], strict=True):
+            if tile != now:
+                if held:
+                    yield done()
+                now, held = tile, {}
+            held[tag] = data, label
+    if held:
+        yield done()
+
+
+def linked(rows: DataFrame, near: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """rows (grp, tag, data) -> links (a, b) between tags, whose components are those of all near pairs within a group."""
+    rows = cut(rows.select("grp", "tag", "data").dropDuplicates(["grp", "tag"]))
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE).select(F.col("grp").alias("g_large"))
+    whole = rows.join(sizes, F.col("grp") == F.col("g_large"), "left_anti").select(F.col("grp").cast("string").alias("tile"), "tag", "data", F.lit(None).cast("long").alias("label"))
+    state = cut(rows.join(sizes, F.col("grp") == F.col("g_large"), "left_semi").withColumn("label", F.lit(None).cast("long")))
+    tiles, given = whole, None
+    if not state.isEmpty():
+        for turn in range(LEADERS):
+            lead = F.min(F.struct(F.xxhash64(F.lit(turn), "tag").alias("h"), "tag", "data"))
+            leaders = state.where("label IS NULL").groupBy("grp").agg(lead.alias("lead")).select(F.col("grp").alias("g_grp"), F.col("lead.tag").alias("lead_tag"), F.col("lead.data").alias("lead_data"))
+            state = cut(state.join(leaders, F.col("grp") == F.col("g_grp"), "left").drop("g_grp").mapInArrow(partial(_settle, near), "grp long, tag long, data binary, label long"))
+        given = state.where("label <> tag").select(F.col("label").alias("a"), F.col("tag").alias("b"))
+        free, label = F.col("label").isNull().alias("free"), F.coalesce("label", F.lit(0).cast("long")).alias("of")
+        counts = state.groupBy("grp", free, label).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("blocks"))
+        counts = counts.select(*[F.col(c).alias(f"c_{c}") for c in ("grp", "free", "of")], "blocks")
+        same = (F.col("grp") == F.col("c_grp")) & (F.col("free") == F.col("c_free")) & (F.col("of") == F.col("c_of"))
+        placed = state.withColumns({"free": free, "of": label}).join(counts, same).withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")))
+        placed = placed.select("grp", "tag", "data", "label", F.struct("free", "of", "block").alias("part"))
+        parts = placed.select("grp", "part").distinct()
+        a, b = F.col("part"), F.col("other")
+        others = parts.select(F.col("grp").alias("o_grp"), F.col("part").alias("other"))
+        apart = (a["free"] != b["free"]) | (a["of"] != b["of"])
+        pairs = parts.join(others, F.col("grp") == F.col("o_grp")).where((a < b) & (apart | a["free"]) | (a == b) & a["free"])
+        tile = F.concat_ws("/", "grp", F.to_json(a), F.to_json(b)).alias("tile")
+        ends = pairs.select("grp", tile, F.explode(F.array_distinct(F.array(a, b))).alias("part")).withColumnsRenamed({"grp": "e_grp", "part": "e_part"})
+        tiles = whole.unionByName(placed.join(ends, (F.col("grp") == F.col("e_grp")) & (F.col("part") == F.col("e_part"))).select("tile", "tag", "data", "label"))
+    found = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(partial(_compare, near), "a long, b long")
+    return (found.unionByName(given) if given is not None else found).distinct()
+
+
+def _deal(names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per key of each fingerprint: the number of the key and three blocks in one long."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        f = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], 1).astype("<i8")
+        blocks = np.ascontiguousarray(f).view(np.uint8).astype(np.int64)
+        n = blocks.shape[1]
+        at = np.arange(n)
+        for i, (x, y) in enumerate(STEPS):
+            keys = blocks | blocks[:, (at + x) % n] << 8 | blocks[:, (at + y) % n] << 16 | (at + n * i) << 24
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("tag").to_numpy(), n))], ["key", "tag"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ordered (key, tag) -> pairs (a, b) under keys of up to ``CROWD`` tags, and (key, tag) as (key, b) under fuller ones."""
+    key, held, crowded = None, [], False
+    for b in batches:
+        keys, tags = b.column("key").to_numpy(), b.column("tag").to_numpy()
+        cuts = [*np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist(), len(keys)] if len(keys) else [0]
+        out: list[tuple] = []
+        alone = np.diff(cuts) == 1
+        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if keys[lo] != key:
+                if len(held) > 1:
+                    out += [(None, x, y) for x, y in combinations(held, 2)]
+                key, held, crowded = keys[lo], [], False
+            if alone[i] and i + 2 < len(cuts) and not held and not crowded:
+                held = [int(tags[lo])]
+                continue
+            for lo_ in range(lo, hi, 10_000):
+                if not crowded:
+                    held += tags[lo_ : min(lo_ + 10_000, hi)].tolist()
+                    if len(held) > CROWD:
+                        crowded = True
+                        out += [(int(key), None, x) for x in held]
+                        held = []
+                else:
+                    out += [(int(key), None, x) for x in tags[lo_ : min(lo_ + 10_000, hi)].tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["key", "a", "b"])
+    if len(held) > 1:
+        out = list(combinations(held, 2))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int64()), *(pa.array([x[i] for x in out], pa.int64()) for i in (0, 1))], ["key", "a", "b"])
+
+
+def wide_links(reps: DataFrame, lanes: int, limit: int) -> DataFrame:
+    """reps (tag, f0, f1, ...) -> links (a, b) between tags, whose components are those of all pairs within ``limit`` bits that share a key."""
+    names = [f"f{i}" for i in range(lanes)]
+    keyed = reps.select("tag", *names).mapInArrow(partial(_deal, names), "key long, tag long")
+    met = cut(keyed.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(_meet, "key long, a long, b long"))
+    pairs = met.where("key IS NULL").select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(reps.select(F.col("tag").alias(f"{side}_tag"), *[F.col(n).alias(f"{side}_{n}") for n in names]), F.col(side) == F.col(f"{side}_tag"))
+    far = reduce(Column.__add__, [F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names])
+    crowded = met.where("key IS NOT NULL").select(F.col("key").alias("grp"), F.col("b").alias("g_tag")).join(reps, F.col("g_tag") == F.col("tag"))
+    data = F.concat(*[F.unhex(F.lpad(F.hex(n), 16, "0")) for n in names]).alias("data")
+    return pairs.where(far <= limit).select("a", "b").unionByName(linked(crowded.select("grp", "tag", data), partial(_close, limit)))
 
 
 def confirmed(docs: DataFrame, kinds: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
     """Candidate links between tags -> links whose components are those of all similar pairs within the candidates' components.
 
-    A text is shipped once, as the hashes of its shingles, and a large component is cut into blocks whose pairs are compared apart.
+    A text is shipped once, as the hashes of its shingles, for the comparison.
     """
     groups = components(candidates).join(kinds.select("tag", "g_least"), F.col("node") == F.col("tag")).select("tag", "g_least", "component")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("t"), text_or_empty().alias("text"))
-    mine = texts.join(groups, (F.col("t") == F.col("tag")) & F.col("doc_id").eqNullSafe(F.col("g_least"))).select("tag", "component", "text")
+    mine = texts.join(groups, (F.col("t") == F.col("tag")) & F.col("doc_id").eqNullSafe(F.col("g_least"))).select(F.col("component").alias("grp"), "tag", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [np.unique(_shingle_hashes(x.as_py(), shingle)).tobytes() for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("tag"), b.column("component"), pa.array(hashes, pa.binary())], ["tag", "component", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("tag"), pa.array(hashes, pa.binary())], ["grp", "tag", "data"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
-
-        def done() -> pa.RecordBatch:
-            tags = list(held)
-            out = _similar([np.frombuffer(held[x], np.uint64) for x in tags]) if len(tags) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([tags[x[i]] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-        for b in batches:
-            for *tile, tag, hashes in zip(*[b.column(c).to_pylist() for c in ("component", "i", "j", "tag", "hashes")], strict=True):
-                if tile != now:
-                    if held:
-                        yield done()
-                    now, held = tile, {}
-                held[tag] = hashes  # rows that repeat a doc_id and text are one
-        if held:
-            yield done()
-
-    hashed = cut(mine.mapInArrow(sets, "tag long, component long, hashes binary"))
-    large = hashed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("blocks")).where("blocks > 1").withColumnRenamed("component", "large")
-    placed = hashed.join(F.broadcast(large), F.col("component") == F.col("large"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 OR other <> block")  # pairs in a block meet beside each other block
-    tiles = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "tag", "hashes")
-    return tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    return linked(mine.mapInArrow(sets, "grp long, tag long, data binary"), _similar)
 
 
 def near_classes_wide(docs: DataFrame, shingle: int = 5, lanes: int = LANES, part: float = NEAR_PART) -> DataFrame:
-    """doc_id, tag and component_id of documents whose sets of five-word shingles are at least 0.8 similar, or linked by such."""
+    """doc_id, tag, component_id and first_tag of documents whose sets of five-word shingles are at least 0.8 similar, or linked by such.
+
+    The first document of a class has doc_id component_id and tag (hash of the text) first_tag.
+    """
     names = [f"f{i}" for i in range(lanes)]
     prints = cut(fingerprints(docs, shingle, lanes))
     found = lambda kinds: confirmed(docs, kinds, wide_links(kinds, lanes, int(part * BITS * lanes)), shingle)
-    return _classes(prints, ["tag", *names], found).select("doc_id", "tag", "component_id")
+    return _classes(prints, ["tag", *names], found).select("doc_id", "tag", "component_id", "first_tag")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,15 @@ def test_texts_of_one_doc_id_are_judged_apart(spark, sf_dir):
     rows = [(1, base, "en", "s", 1, "", "", 0), (2, base + " end", "en", "s", 1, "", "", 0), (2, other, "en", "s", 1, "", "", 0), (3, other, "en", "s", 1, "", "", 0), (None, base, "en", "s", 1, "", "", 0), (3, other, "en", "s", 1, "", "", 0)]
     kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), sf_dir).collect()
     assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted([(1, base), (2, other), (None, base)], key=str)
+
+
+def test_one_row_of_each_class_stays(spark, sf_dir):
+    r = np.random.default_rng(10)
+    w = list(r.choice([f"w{i}" for i in range(900)], 300))
+    base, near = " ".join(w), " ".join([*w[:150], "changed", *w[151:]])
+    row = lambda i, t, lang="en", source="s": (i, t, lang, source, 1, "", "", 0)
+    rows = [row(5, base, source="A"), row(5, near, source="B"), row(5, base, "de"), row(5, base, source="A"), row(9, near), row(None, base), row(None, base), row(7, " "), row(7, " ")]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), sf_dir).collect()
+    assert [x.doc_id for x in kept].count(5) == 1 and sorted(map(str, (x.doc_id for x in kept))) == ["5", "7", "7", "None", "None"]
+    again = corpus_pipeline.near_duplicates(spark, documents(spark, rows[::-1]), sf_dir).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))

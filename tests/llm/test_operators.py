@@ -519,3 +519,70 @@ def test_near_classes_wide_confirms_similarity(spark, monkeypatch, tile):
                 if similarity(texts[i], texts[j]) >= 0.8:
                     want[i] = want[j] = min(want[i], want[j])
     assert got == dict(enumerate(want)) and len(set(want)) > len(texts) // 4
+
+
+@pytest.mark.parametrize("tile, crowd, leaders", [(2, 2, 2), (8, 3, 1), (64, 16, 3)])
+def test_linked_groups_equal_all_pairs(spark, monkeypatch, tile, crowd, leaders):
+    for name, value in (("TILE", tile), ("CROWD", crowd), ("LEADERS", leaders)):
+        monkeypatch.setattr(simhash, name, value)
+    r = np.random.default_rng(tile)
+    rows = []
+    for group in range(4):
+        centers = r.integers(0, 256, (3, 64), dtype=np.uint8)
+        for i in range((5, 60, 25, 1)[group]):
+            f = centers[r.integers(3)].copy()
+            for bit in r.integers(0, 512, r.integers(0, 40)):
+                f[bit // 8] ^= 1 << (bit % 8)
+            rows.append((group, group * 1000 + i, bytes(f)))
+    got = simhash.linked(spark.createDataFrame(rows + rows[:5], "grp long, tag long, data binary"), lambda d: simhash._close(40, d)).collect()
+    far = lambda a, b: (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+    pairs = [(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and far(x[2], y[2]) <= 40]
+    groups = lambda edges: Counter(frozenset(g) for g in _components([x[1] for x in rows], edges))
+    assert groups([(x.a, x.b) for x in got]) == groups(pairs)
+
+
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_wide_links_equal_all_pairs_that_share_a_key(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "TILE", 4)
+    r = np.random.default_rng(crowd)
+    centers = r.integers(0, 256, (6, 64), dtype=np.uint8)
+    prints = []
+    for i in range(90):
+        f = centers[min(i % 12, 5)].copy()
+        for bit in r.integers(0, 512, r.integers(0, 90)):
+            f[bit // 8] ^= 1 << (bit % 8)
+        prints.append(f)
+    rows = [(i, *f.view("<i8").tolist()) for i, f in enumerate(prints)]
+    got = [(x.a, x.b) for x in simhash.wide_links(spark.createDataFrame(rows, "tag long, " + ", ".join(f"f{i} long" for i in range(8))), 8, 97).collect()]
+    pairs = []
+    for a in range(90):
+        for b in range(a):
+            same = prints[a] == prints[b]
+            near = np.bitwise_count(prints[a] ^ prints[b]).sum(dtype=int) <= 97
+            if near and any(same[i] and same[(i + x) % 64] and same[(i + y) % 64] for i in range(64) for x, y in simhash.STEPS):
+                pairs.append((a, b))
+            if (~same).sum() <= 21:
+                assert any(same[i] and same[(i + x) % 64] and same[(i + y) % 64] for i in range(64) for x, y in simhash.STEPS)  # pigeonhole
+    groups = lambda edges: Counter(frozenset(g) for g in _components(range(90), edges))
+    assert groups(got) == groups(pairs)
+
+
+def test_near_classes_wide_find_nine_of_ten_similar_pairs(spark):
+    """Against all pairs of the texts of sf0.1 with five-word Jaccard similarity of 0.8 or more, found by an index of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    first = {}
+    for d, t in sorted(docs.select("doc_id", "text").where("text IS NOT NULL").collect()):
+        first.setdefault(t, d)
+    sets = {d: s for t, d in first.items() if (s := set(simhash._shingle_hashes(t, 5).tolist()))}
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for h in s:
+            holders[h].append(d)
+    both = Counter((a, b) for held in holders.values() for i, a in enumerate(held) for b in held[:i])
+    close = [(a, b) for (a, b), n in both.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    label = {r.doc_id: r.component_id for r in simhash.near_classes_wide(docs).collect()}
+    assert len(close) > 20 and np.mean([label[a] == label[b] for a, b in close]) >= 0.9
+    print("similar pairs found:", np.mean([label[a] == label[b] for a, b in close]), "of", len(close))
+    owner = {d: i for i, g in enumerate(_components(sorted(sets), close)) for d in g}
+    assert len({(owner[d], label[d]) for d in sets}) == len({label[d] for d in sets})  # texts of no similarity are not joined
