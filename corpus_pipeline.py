@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolith.llm import mixing, packing, quality_model, simhash, substring_dedup
@@ -39,15 +39,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of five-word-shingle SimHashes, the document with the smallest doc_id stays, once.
+    """Of each class of near copies one row stays: that with the smallest doc_id; of those the one with the smallest text hash; of those the first by all its columns.
 
     Documents without a doc_id have no place in that order and stay; those without a word are no copies of each other and stay.
     """
-    counted = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").where(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "")
-    classes = simhash.near_classes_wide(counted.select("doc_id", "text"))
-    gone = classes.where("doc_id > component_id").select(F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag"))  # texts of one doc_id are judged apart
-    kept = docs.join(gone, (F.col("doc_id") == F.col("g_id")) & (F.xxhash64("text") == F.col("g_tag")), "left_anti")
-    return kept.dropDuplicates()
+    counted = F.col("doc_id").isNotNull() & F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "", F.lit(False))
+    classes = simhash.near_classes_wide(docs.where(counted).select("doc_id", "text"))
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("tag") == F.col("first_tag"))
+    gone = classes.where(~first).select(F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag"))  # texts of one doc_id are judged apart
+    tagged = docs.where(counted).withColumn("g_hash", F.xxhash64("text"))
+    kept = tagged.join(gone, (F.col("doc_id") == F.col("g_id")) & (F.col("g_hash") == F.col("g_tag")), "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id", "g_hash").orderBy(F.xxhash64(*docs.columns)))
+    return kept.withColumn("g_place", place).where("g_place = 1").select(docs.columns).unionByName(docs.where(~counted))
 
 
 @stage
