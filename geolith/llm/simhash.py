@@ -50,8 +50,8 @@ LANES = 8
 SIMILAR = (4, 5)
 #: Steps from a block to the two others of a key; all differences between the three differ.
 STEPS = ((1, 3), (4, 9), (6, 13))
-#: Fingerprints under one key that are paired outright.
-CROWD = 16
+#: Fingerprints under one key that are paired outright: up to 1.5 pairs a row, about what comparing a key in one piece moves.
+CROWD = 4
 #: Rows of a group that are compared with each other at once.
 TILE = 64
 #: Rows of a large group that take those close to them before the rest is compared.
@@ -265,7 +265,7 @@ def linked(rows: DataFrame, near: Callable[[list[bytes]], np.ndarray]) -> DataFr
         tile = F.concat_ws("/", "grp", F.to_json(a), F.to_json(b)).alias("tile")
         ends = pairs.select("grp", tile, F.explode(F.array_distinct(F.array(a, b))).alias("part")).withColumnsRenamed({"grp": "e_grp", "part": "e_part"})
         tiles = whole.unionByName(placed.join(ends, (F.col("grp") == F.col("e_grp")) & (F.col("part") == F.col("e_part"))).select("tile", "tag", "data", "label"))
-    found = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(partial(_compare, near), "a long, b long")
+    found = tiles.repartition("tile").sortWithinPartitions("tile", "tag").mapInArrow(partial(_compare, near), "a long, b long")
     return (found.unionByName(given) if given is not None else found).distinct()
 
 
