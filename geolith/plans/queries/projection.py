@@ -42,13 +42,9 @@ _LAMBERT = f"""l AS (SELECT *, (minlat + (maxlat - minlat) / 6) * {_RAD} AS p1,
   q AS (SELECT event_id, f / pow(tan(pi() / 4 + {_CLAMP.format(m=P.POLE_LIMIT)} * {_RAD} / 2), n) AS rho, n * (lon * {_RAD} - l0) AS th, rho0 FROM ev, k)"""
 
 
-@query(f"WITH {fx.EVENTS}, {_LAMBERT} SELECT event_id, round(rho * sin(th) * 180 / pi(), 6) AS x, round((rho0 - rho * cos(th)) * 180 / pi(), 6) AS y FROM q WHERE abs(rho) < 1000")
+@query(f"WITH {fx.EVENTS}, {_LAMBERT} SELECT event_id, round(rho * sin(th) * 180 / pi(), 6) AS x, round((rho0 - rho * cos(th)) * 180 / pi(), 6) AS y FROM q")
 def proj_lambert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points whose distance from the pole of the cone is under 1,000 radians, where six places mean something."""
-    cone = P.Lambert.fit(*_EXTENT)
-    lat = F.least(F.lit(P.POLE_LIMIT), F.greatest(F.lit(-P.POLE_LIMIT), F.col("lat")))
-    rho = cone.scale / F.pow(F.tan(F.pi() / 4 + F.radians(lat) / 2), F.lit(cone.n))
-    return _rounded(_points(spark, sf_dir).where(F.abs(rho) < 1000).withColumn("p", P.project("Lambert", F.col("lon"), F.col("lat"), _EXTENT)))
+    return _rounded(_points(spark, sf_dir).withColumn("p", P.project("Lambert", F.col("lon"), F.col("lat"), _EXTENT)))
 
 
 _LOBE = "CASE " + " ".join(f"WHEN lon BETWEEN {a} AND {b} AND lat BETWEEN {c} AND {d} THEN {i}" for i, (_, rects) in enumerate(P.LOBES) for a, b, c, d in rects) + " END"

@@ -72,9 +72,17 @@ def dbf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.dbf_fields(customer_features(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('PopulationDensity', 'Population'), ('PopulationGrowth', 'Populati_1'), ('name', 'name'), ('NAME', 'NAME_1'), ('a_very_long_key', 'a_very_lon'), ('a_very_lonely', 'a_very_l_1'), ('a_very_long', 'a_very_l_2')) AS t(key, field)")
+_LONG_NAMES = """c AS (SELECT DISTINCT 'c_' || lower(c_mktsegment) || '_' || (c_nationkey % 3) AS key FROM customer), f AS (SELECT key, lower(left(key, 10)) AS short, row_number() OVER (ORDER BY key) AS i FROM c)"""
+
+
+@query(
+    f"""WITH {_LONG_NAMES}, n AS (SELECT key, left(key, 10) AS base, row_number() OVER (PARTITION BY short ORDER BY i) - 1 AS n FROM f)
+    SELECT key, CASE WHEN n = 0 THEN base ELSE left(base, 10 - length('_' || n)) || '_' || n END AS field FROM n"""
+)
 def dbf_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["PopulationDensity", "PopulationGrowth", "name", "NAME", "a_very_long_key", "a_very_lonely", "a_very_long"]
+    """Field names of ten characters for the market segments, three of each."""
+    c = fx.table(spark, sf_dir, "customer").select(F.concat(F.lit("c_"), F.lower("c_mktsegment"), F.lit("_"), (F.col("c_nationkey") % 3).cast("string")).alias("key"))
+    keys = [r["key"] for r in c.distinct().orderBy("key").collect()]  # columns of a table, not rows
     return spark.createDataFrame(list(zip(keys, S.dbf_names(keys), strict=True)), "key string, field string")
 
 
@@ -155,7 +163,7 @@ def progress_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.SQUARES}, {fx.CUST}, a AS (SELECT 'part ' || k AS label, side * side AS priority FROM sq WHERE k % 4 = 0 UNION ALL SELECT 'customer ' || k, 0.0 FROM cust WHERE k % 4 = 0)
+    f"""WITH {fx.SQUARES}, {fx.CUST}, a AS (SELECT 'part ' || k AS label, side * side AS priority FROM sq UNION ALL SELECT 'customer ' || k, 0.0 FROM cust)
     SELECT label, CAST(row_number() OVER (ORDER BY priority DESC, label) AS INTEGER) AS place FROM a"""
 )
 def label_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

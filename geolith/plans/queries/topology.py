@@ -151,7 +151,7 @@ def geoparquet_types_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # rasterisation: squares on a canvas of 640 x 320, two pixels a degree or so
 
-_PIX = "px AS (SELECT k, (x + 180) * 1.75 AS x0, (85 - y) * 1.75 AS y0, side * 64 * 0.75 AS n FROM sq WHERE k % 8 = 0)".replace("1.75", "1.75::DOUBLE").replace("0.75 AS n", "0.75::DOUBLE AS n")
+_PIX = "px AS (SELECT k, (x + 180) * 1.75 AS x0, (85 - y) * 1.75 AS y0, side * 64 * 0.75 AS n FROM sq)".replace("1.75", "1.75::DOUBLE").replace("0.75 AS n", "0.75::DOUBLE AS n")
 _EDGES = "e AS (SELECT k, x0, y0, x0 + n AS x1, y0 + n / 2 AS y1 FROM px UNION ALL SELECT k, x0 + n, y0 + n / 2, x0 + n / 4, y0 + n FROM px UNION ALL SELECT k, x0 + n / 4, y0 + n, x0, y0 FROM px)"
 
 
@@ -202,7 +202,7 @@ def blend_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT o_custkey % 40 AS y, o_orderkey AS i, CAST(o_orderkey * 37 % 256 AS INTEGER) AS v FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY i) AS x FROM b), k AS (SELECT * FROM n WHERE x <= 80),
+    """WITH b AS (SELECT o_custkey % 40 AS y, o_orderkey AS i, CAST(o_orderkey * 37 % 256 AS INTEGER) AS v FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY i) AS x FROM b), k AS (SELECT * FROM n),
     w AS (SELECT c.y, c.v AS x, coalesce(u.v, 0) AS b, coalesce(l.v, 0) AS a, coalesce(q.v, 0) AS c FROM k c LEFT JOIN k u ON u.y = c.y - 1 AND u.x = c.x LEFT JOIN k l ON l.y = c.y AND l.x = c.x - 4 LEFT JOIN k q ON q.y = c.y - 1 AND q.x = c.x - 4),
     f AS (SELECT y, x, x - a AS f1, x - b AS f2, x - (a + b) // 2 AS f3, x - CASE WHEN abs(b - c) <= abs(a - c) AND abs(b - c) <= abs(a + b - 2 * c) THEN a WHEN abs(a - c) <= abs(a + b - 2 * c) THEN b ELSE c END AS f4 FROM w),
     m AS (SELECT y, (x + 256) % 256 AS g0, (f1 + 256) % 256 AS g1, (f2 + 256) % 256 AS g2, (f3 + 256) % 256 AS g3, (f4 + 256) % 256 AS g4 FROM f),
