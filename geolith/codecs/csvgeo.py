@@ -63,7 +63,7 @@ def read(data: bytes) -> Layer:
     found = []
     for row in rows[1:]:
         geom = None
-        if 0 <= w < len(row) and row[w].strip():
+        if 0 <= w < len(row) and row[w]:
             geom = parse(row[w])
         elif w < 0 and use_xy:
             a, b = (number(row[i]) if i < len(row) else None for i in (x, y))

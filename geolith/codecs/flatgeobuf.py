@@ -53,8 +53,8 @@ class _Table:
 
 
 def index_size(count: int, node: int) -> int:
-    """Bytes of the packed R-tree: 40 for each node of each level."""
-    total = level = count
+    """Bytes of the packed R-tree: 40 for each node of each level. Nodes hold two or more, whatever the header says."""
+    node, total, level = max(node, 2), count, count
     while level != 1:
         level = -(-level // node)
         total += level
@@ -106,8 +106,8 @@ def _properties(data: bytes, columns: list[tuple[str, int]]) -> dict[str, Any]:
 
 def read(data: bytes) -> Layer:
     data = bytes(data)
-    if data[:3] != MAGIC[:3] or data[4:7] != MAGIC[4:7]:
-        raise GeoError("not a FlatGeobuf file")
+    if data[:8] != MAGIC:
+        raise GeoError("not a FlatGeobuf file of version 3")
     try:
         size = struct.unpack_from("<I", data, 8)[0]
         head = _Table(data, 12 + struct.unpack_from("<I", data, 12)[0])

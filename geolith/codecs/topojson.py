@@ -61,7 +61,7 @@ def read(data: bytes) -> Layer:
         if o.get("type") == "GeometryCollection":
             return [f for x in o.get("geometries", []) for f in features(x)]
         props = o.get("properties")
-        return [Feature(geometry(o), {k: value_in(v) for k, v in props.items()} if isinstance(props, dict) else {}, value_in(o.get("id")))]
+        return [Feature(geometry(o) if o.get("type") is not None else None, {k: value_in(v) for k, v in props.items()} if isinstance(props, dict) else {}, value_in(o.get("id")))]
 
     return Layer(children=[Layer(name, features=features(o)) for name, o in root.get("objects", {}).items()])
 
