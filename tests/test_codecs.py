@@ -1,4 +1,5 @@
 import json
+import re
 import struct
 import zipfile
 from io import BytesIO
@@ -14,7 +15,7 @@ from geolith.codecs.base import Feature, Geom, JsonRaw, Layer, collection, line,
 from geolith.errors import GeoError
 from geolith.sources.files import decode, encode
 
-from .samples import every_type, gpx_layered, layered, mixed, p, polygons, square
+from .samples import kinds, p, parts, recorded, regions, square, trade
 
 
 def texts(layer):
@@ -58,7 +59,17 @@ def test_wkt_forms(text, want):
     assert wkt.dump(wkt.parse(text)) == want
 
 
-@pytest.mark.parametrize("text", ["POINT (1 a)", "POINT (1 2) x", "CIRCLE (1 2)", "(1 2)", "POINT 1 2", "POINT (1 e)", "POINT (1 2", "LINESTRING (0 0,"])
+def broken(text):
+    """Texts that each lack or have one thing too much: a parenthesis, the keyword, a digit in a number, the rest after a comma."""
+    yield from (text.replace(c, "", 1) for c in "()" if c in text)
+    yield from (text + more for more in (" POINT", ")", " 7"))
+    yield text[text.index("(") :] if "(" in text else "X" + text
+    yield "NO" + text
+    yield from (text[: m.start()] + bad + text[m.end() :] for m in re.finditer(r"[0-9]", text) for bad in ("-", "e4", "1_", "0x"))
+    yield from (text[: m.end()] for m in re.finditer(",", text))
+
+
+@pytest.mark.parametrize("text", sorted({b for t in VALID for b in broken(t)}))
 def test_wkt_errors(text):
     with pytest.raises(GeoError):
         wkt.parse(text)
@@ -86,7 +97,7 @@ KEEPS = {"geojson": set(), "wkt": set(), "wkb": set(), "kml": set(), "kmz": set(
 
 @pytest.mark.parametrize("fmt", KEEPS)
 def test_types_survive(fmt):
-    geoms = [g for g in every_type() if not ("collection" in KEEPS[fmt] and g.kind == "GeometryCollection")]
+    geoms = [g for g in kinds() if not ("collection" in KEEPS[fmt] and g.kind == "GeometryCollection")]
     back = decode(fmt, encode(fmt, Layer(features=[Feature(g) for g in geoms])))
     assert [f.geom.kind for f in back.walk()] == [g.kind for g in geoms]
     assert next(back.walk()).geom.has_z == ("z" not in KEEPS[fmt])
@@ -94,11 +105,11 @@ def test_types_survive(fmt):
 
 @pytest.mark.parametrize("fmt", ["geojson", "topojson", "csv", "flatgeobuf", "geoparquet"])
 def test_properties_survive(fmt):
-    assert props(decode(fmt, encode(fmt, mixed()))) == props(mixed())
+    assert props(decode(fmt, encode(fmt, trade()))) == props(trade())
 
 
 def test_xml_properties_are_text():
-    assert props(decode("kml", encode("kml", mixed()))) == [{"name": "alpha", "pop": "1200", "ratio": "3.14"}, {"name": "road", "lanes": "2"}, {"name": "block", "active": "true"}]
+    assert props(decode("kml", encode("kml", trade()))) == [{k: base.text_of(v) for k, v in f.items()} for f in props(trade())]
 
 
 def test_geojson_details():
@@ -127,24 +138,23 @@ def test_topojson_quantised_and_shared_arcs():
 
 def test_topojson_names_and_limits():
     assert topojson.object_names(["data", None, "data", "x", "x"]) == ["data_1", "layer_1", "data_2", "x", "x_1"]
-    assert list(json.loads(topojson.write(layered()))["objects"]) == ["data", "cities", "roads"]
-    assert json.loads(topojson.write(mixed()))["arcs"][0] == [[0, 0], [1, 1], [2, 0]]
+    assert list(json.loads(topojson.write(regions()))["objects"]) == ["data", "CHINA", "INDIA"]
+    assert json.loads(topojson.write(trade()))["arcs"][0] == [list(q[:2]) for q in trade().features[1].geom.parts[0][0]]
     with pytest.raises(GeoError):
         topojson.write(Layer(features=[Feature(collection([point(p(1, 1))]))]))
-    with pytest.raises(GeoError):
-        decode("topojson", topojson.write(Layer(features=[Feature(None)])))
+    assert texts(decode("topojson", topojson.write(Layer(features=[Feature(None, {"a": 1}), Feature(point(p(1, 2)))])))) == [None, "POINT (1 2)"]
 
 
 def test_layers_survive():
     for fmt in ("kml", "kmz"):
-        back = decode(fmt, encode(fmt, layered()))
-        assert back.name == "world" and back.props == {"description": "everything"} and [c.name for c in back.children] == ["cities", "roads"] and back.children[1].children[0].name == "highways"
-        assert [f.props["name"] for f in back.walk()] == ["pole", "A", "B", "M1"]
-    back = gpx.read(gpx.write(gpx_layered()))
-    assert [c.name for c in back.children] == ["waypoints", "routes", "tracks"] and texts(back) == ["POINT Z (1 2 100)", "LINESTRING (0 0, 1 1)", "LINESTRING Z (0 0 1, 2 2 2)"]
-    rows = base.feature_rows(layered(), "x")
-    again = base.layer_of(rows, base.layer_rows(layered(), "x"))
-    assert [f.props for f in again.walk()] == [f.props for f in layered().walk()] and again.name == "world" and again.children[1].children[0].name == "highways"
+        back = decode(fmt, encode(fmt, regions()))
+        assert back.name == "ASIA" and back.props == {"description": "a region"} and [c.name for c in back.children] == ["CHINA", "INDIA"] and back.children[1].children[0].name == "suppliers"
+        assert [f.props["name"] for f in back.walk()] == [f.props["name"] for f in regions().walk()]
+    back = gpx.read(gpx.write(recorded()))
+    assert [c.name for c in back.children] == ["waypoints", "routes", "tracks"] and texts(back) == texts(recorded()) and [f.geom.has_z for f in back.walk()] == [True, False, True]
+    rows = base.feature_rows(regions(), "x")
+    again = base.layer_of(rows, base.layer_rows(regions(), "x"))
+    assert [f.props for f in again.walk()] == [f.props for f in regions().walk()] and again.name == "ASIA" and again.children[1].children[0].name == "suppliers"
 
 
 def test_gpx_details():
@@ -164,11 +174,11 @@ def test_kml_details():
         kml.read(b"<kml><Placemark><Point><coordinates>1,x</coordinates></Point></Placemark></kml>")
     held = BytesIO()
     with zipfile.ZipFile(held, "w") as z:
-        z.writestr("a.kml", kml.write(mixed()))
-        z.writestr("sub/b.KML", kml.write(layered()))
+        z.writestr("a.kml", kml.write(trade()))
+        z.writestr("sub/b.KML", kml.write(regions()))
     back = kml.read_kmz(held.getvalue())
-    assert [c.name for c in back.children] == ["a", "world"]
-    assert kml.write_kmz(mixed()) == kml.write_kmz(mixed())
+    assert [c.name for c in back.children] == ["a", "ASIA"]
+    assert kml.write_kmz(trade()) == kml.write_kmz(trade())
     with pytest.raises(GeoError):
         decode("kmz", b"PK")
 
@@ -178,6 +188,8 @@ def test_csv_details():
     assert texts(csvgeo.read(b"lon,lat,name\n1,2,A\nbad,2,B\n")) == ["POINT (1 2)", None]
     back = csvgeo.read(b"Name, WKT ,x,y\nA,POINT (1 2),7,8,extra\n")
     assert texts(back) == ["POINT (1 2)"] and props(back) == [{"Name": "A", "x": 7, "y": 8}]
+    with pytest.raises(GeoError):
+        csvgeo.read(b"WKT,a\n  ,1\n")  # blank, but not empty
     assert csvgeo.lex('x"y"z,1') == [["xyz", "1"]]
     assert props(csvgeo.read(b"a,a\n1,2")) == [{"a": 2}]
     out = csvgeo.write(Layer(features=[Feature(None, {"k": 'a,"b"\n'}), Feature(point(p(1, 2)), {"j": 2.5})])).decode()
@@ -188,10 +200,10 @@ def test_csv_details():
 
 
 def test_shapefile_round_trip():
-    files = shapefile.write(polygons())
+    files = shapefile.write(parts())
     assert set(files) == {"shp", "shx", "dbf", "prj"}
     back = shapefile.read(files["shp"], files["dbf"])
-    assert [f.geom.kind for f in back.walk()] == ["Polygon", "MultiPolygon"] and props(back) == props(polygons())
+    assert [f.geom.kind for f in back.walk()] == ["Polygon", "MultiPolygon"] and props(back) == props(parts())
     ring = next(back.walk()).geom.parts[0]
     assert base.area(ring[0]) < 0 < base.area(ring[1])  # clockwise outside
     offsets = [2 * struct.unpack_from(">i", files["shx"], 100 + 8 * i)[0] for i in range(2)]
@@ -201,14 +213,14 @@ def test_shapefile_round_trip():
 
 def test_shapefile_limits():
     with pytest.raises(GeoError):
-        shapefile.write(mixed())
+        shapefile.write(trade())
     with pytest.raises(GeoError):
         shapefile.write(Layer(features=[Feature(collection([]))]))
     nulls = shapefile.write(Layer(features=[Feature(None, {"a": None}), Feature(point(None))]))
     assert texts(shapefile.read(nulls["shp"], nulls["dbf"])) == [None, None] and struct.unpack_from("<i", nulls["shp"], 32)[0] == 1
     assert [len(x) for x in shapefile.records(nulls["shp"])] == [4, 4]
-    bundle = shapefile.write_directory(Layer(features=[Feature(point(p(1, 2)))], children=[Layer("blocks", features=polygons().features), Layer(features=[])]))
-    assert {n for n in bundle if n.endswith(".shp")} == {"data.shp", "blocks.shp", "layer_1.shp"}
+    bundle = shapefile.write_directory(Layer(features=[Feature(point(p(1, 2)))], children=[Layer("Brand#6", features=parts().features), Layer(features=[])]))
+    assert {n for n in bundle if n.endswith(".shp")} == {"data.shp", "Brand#6.shp", "layer_1.shp"}
 
 
 def test_stray_counter_clockwise_ring_opens_a_polygon():
@@ -232,7 +244,7 @@ def test_dbf_plan():
     assert got == {"flag": ("L", 1, 0), "n": ("N", 4, 0), "r": ("N", 4, 2), "s": ("C", 3, 0), "e": ("C", 1, 0), "mix": ("C", 4, 0)}
     back = dbf.read(dbf.write(base.keys_of(layer), layer))
     assert back[0] == {"flag": True, "n": 7, "r": 1.25, "s": "abc", "e": None, "mix": "true"} and back[1]["s"] == "ü"
-    assert dbf.unique_names(["PopulationDensity", "PopulationGrowth", "population"]) == ["Population", "Populati_1", "populati_2"]
+    assert dbf.unique_names(["l_extendedprice", "l_extendedtax", "L_EXTENDED"]) == ["l_extended", "l_extend_1", "L_EXTEND_2"]
     assert shapefile.encoding(b"UTF-8") == "utf-8" and shapefile.encoding(b"1252") == shapefile.encoding(None) == "latin-1"
 
 
@@ -240,18 +252,23 @@ def test_dbf_plan():
 
 
 def test_flatgeobuf_details():
-    layer = Layer(features=[Feature(None, {"a": 1}), Feature(point(None), {"b": "é"}), *(Feature(g) for g in every_type())])
+    layer = Layer(features=[Feature(None, {"a": 1}), Feature(point(None), {"b": "é"}), *(Feature(g) for g in kinds())])
     back = flatgeobuf.read(flatgeobuf.write(layer))
     assert texts(back)[:2] == [None, "POINT EMPTY"] and props(back)[:2] == [{"a": 1}, {"b": "é"}]
     assert flatgeobuf.index_size(2, 16) == 120
-    for bad in (b"nope", flatgeobuf.MAGIC, flatgeobuf.write(mixed())[:-3]):
+    assert flatgeobuf.index_size(5, 1) == flatgeobuf.index_size(5, 0) == flatgeobuf.index_size(5, 2) == 40 * (5 + 3 + 2 + 1)
+    data = flatgeobuf.write(parts())
+    for at in (3, 7):  # another version, another patch of it
+        with pytest.raises(GeoError):
+            flatgeobuf.read(data[:at] + bytes([data[at] + 1]) + data[at + 1 :])
+    for bad in (b"nope", flatgeobuf.MAGIC, flatgeobuf.write(trade())[:-3]):
         with pytest.raises(GeoError):
             decode("flatgeobuf", bad)
 
 
 def test_flatgeobuf_against_the_public_runtime():
     flatbuffers = pytest.importorskip("flatbuffers")
-    data = flatgeobuf.write(polygons())
+    data = flatgeobuf.write(parts())
     head = flatbuffers.table.Table(data[12:], flatbuffers.encode.Get(flatbuffers.packer.uoffset, data, 12))
     o = head.Offset(4 + 2 * 8)
     assert head.Get(flatbuffers.number_types.Uint64Flags, o + head.Pos) == 2
@@ -264,14 +281,14 @@ def test_widening():
 
 
 def test_geoparquet_details():
-    data = geoparquet.write(mixed())
+    data = geoparquet.write(trade())
     f = pq.ParquetFile(BytesIO(data))
     geo = json.loads(f.schema_arrow.metadata[b"geo"])
-    assert geo["columns"]["geometry"]["geometry_types"] == ["LineString", "Point", "Polygon"] and geo["columns"]["geometry"]["bbox"] == [0, 0, 4, 4]
+    assert geo["columns"]["geometry"]["geometry_types"] == ["LineString", "Point", "Polygon"] and geo["columns"]["geometry"]["bbox"] == [f(q[i] for g in trade().walk() for q in g.geom.positions()) for f in (min, max) for i in (0, 1)]
     assert pq.ParquetFile(BytesIO(geoparquet.write(Layer()))).num_row_groups == 0
     for codec in ("zstd", "lzma"):
         with pytest.raises(GeoError):
-            geoparquet.write(mixed(), codec)
+            geoparquet.write(trade(), codec)
     held = BytesIO()
     pq.write_table(pa.table({"a": [1]}), held)
     for bad in (held.getvalue(), b"PAR1", b"nope"):
@@ -286,7 +303,7 @@ def test_geoparquet_details():
 def test_columns_hold_what_rows_hold():
     from geolith.codecs import columnar
 
-    geoms = [wkt.parse(t) for t in VALID] + [None, *every_type()]
+    geoms = [wkt.parse(t) for t in VALID] + [None, *kinds()]
     column = columnar.column(geoms)
     assert column.to_pylist() == [base.geom_row(g) for g in geoms]
     for c in (column, column.slice(3, 9), column.slice(len(geoms) - 5)):
