@@ -55,7 +55,7 @@ CROWD = 4
 #: Rows of a group that are compared with each other at once.
 TILE = 64
 #: Rows of a large group that take those close to them before the rest is compared.
-LEADERS = 3
+LEADERS = 1
 
 
 def _shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -325,7 +325,8 @@ def wide_links(reps: DataFrame, lanes: int, limit: int) -> DataFrame:
     far = reduce(Column.__add__, [F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names])
     crowded = met.where("key IS NOT NULL").select(F.col("key").alias("grp"), F.col("b").alias("g_tag")).join(reps, F.col("g_tag") == F.col("tag"))
     data = F.concat(*[F.unhex(F.lpad(F.hex(n), 16, "0")) for n in names]).alias("data")
-    return pairs.where(far <= limit).select("a", "b").unionByName(linked(crowded.select("grp", "tag", data), partial(_close, limit)))
+    fuller = linked(crowded.select("grp", "tag", data), partial(_close, limit))
+    return pairs.where(far <= limit).select("a", "b").unionByName(fuller)
 
 
 def confirmed(docs: DataFrame, kinds: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:

@@ -586,3 +586,15 @@ def test_near_classes_wide_find_nine_of_ten_similar_pairs(spark):
     print("similar pairs found:", np.mean([label[a] == label[b] for a, b in close]), "of", len(close))
     owner = {d: i for i, g in enumerate(_components(sorted(sets), close)) for d in g}
     assert len({(owner[d], label[d]) for d in sets}) == len({label[d] for d in sets})  # texts of no similarity are not joined
+
+
+@pytest.mark.parametrize("held", [1, 5, 1 << 20])
+def test_components(spark, monkeypatch, held):
+    from geolith.llm import graph
+
+    monkeypatch.setattr(graph, "HELD", held)
+    r = np.random.default_rng(held % 97)
+    edges = [(int(a), int(b)) for a, b in r.integers(-60, 60, (55, 2))] + [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)] + [(7, 7)]
+    got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    nodes = sorted({n for a, b in edges if a != b for n in (a, b)})
+    assert got == {n: min(g) for g in _components(nodes, [e for e in edges if e[0] != e[1]]) for n in g}
