@@ -234,6 +234,17 @@ def plain_chats(turns):
     return Counter((own[1] if own[0] == "c" else None, s) for own, s in kept.items())
 
 
+def test_bad_hosts_lose_all_their_documents(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(h * 1000 + i, good if i >= bad else "too short", "en", f"h{h}", 1, "", "", 0) for h, (n, bad) in enumerate([(40, 2), (40, 4), (300, 295), (40, 1), (3, 3), (40, 6)]) for i in range(n)]
+    got = quality_rules.judge(documents(spark, rows)).collect()
+    kept = Counter(r.host for r in got if r.kept)
+    assert kept == {"h0": 38, "h1": 36, "h3": 39, "h5": 34}  # not the five good ones of h2
+    assert all(r.kept == (not r.base_failed) for r in got if r.host != "h2")
+    small = {r.host: r.host_rate for r in got}
+    assert small["h4"] < 1 and small["h2"] > quality_rules.MAX_HOST_RATE
+
+
 def test_chat_format(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "hello"), (3, 2, "user", "more"), (4, 0, "user", "hi"), (4, 1, "assistant", "other")]
     turns += [(5, 0, None, None), (6, 0, None, None), (6, 1, "user", ""), (3, 2, "user", "more"), (7, None, "user", "no turn"), (None, 0, "user", "nobody"), (9, 0, "user", "hi"), (9, 1, "assistant", "hello"), (9, 2, "user", "more")]
