@@ -22,6 +22,28 @@ def test_trees_learn_and_flatten():
         assert np.isclose(total, t.raw(row[None])[0])
 
 
+def test_first_split_is_the_best_of_all():
+    """One tree of one split against every cut between values of every feature."""
+    for seed in range(12):
+        r = np.random.default_rng(seed)
+        x, y = r.integers(0, 9, (60, 4)).astype(float), r.integers(0, 2, 60).astype(float)
+        t = boosting.fit(x, y, trees=1, depth=1, rate=1.0, bins=1000, l2=1.0, least=5)
+        p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        g, h = y - p, np.full(60, p * (1 - p))
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)  # noqa: B023, E731
+        gains = {}
+        for f in range(4):
+            for c in np.unique(x[:, f])[:-1]:
+                left = x[:, f] <= c
+                if min(left.sum(), (~left).sum()) >= 5:
+                    gains[f, c] = part(left) + part(~left) - part(np.ones(60, bool))
+        f, c = int(t.feature[0]), float(t.cut[0])
+        left = x[:, f] <= c
+        assert np.isclose(part(left) + part(~left) - part(np.ones(60, bool)), max(gains.values()))
+        for side, node in ((left, t.child[0]), (~left, t.child[0] + 1)):
+            assert np.isclose(t.value[node], g[side].sum() / (h[side].sum() + 1.0))
+
+
 def test_trees_without_labels():
     assert boosting.fit(np.zeros((0, 0)), np.zeros(0)).score(np.zeros((2, 3))).tolist() == [0.5, 0.5]
     assert boosting.fit(np.zeros((4, 2)), np.ones(4)).score(np.zeros((1, 2)))[0] > 0.99
