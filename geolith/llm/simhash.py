@@ -248,13 +248,14 @@ def linked(rows: DataFrame, near: Callable[[list[bytes]], np.ndarray]) -> DataFr
     if not state.isEmpty():
         for turn in range(LEADERS):
             lead = F.min(F.struct(F.xxhash64(F.lit(turn), "tag").alias("h"), "tag", "data"))
-            leaders = state.where("label IS NULL").groupBy("grp").agg(lead.alias("lead")).select(F.col("grp").alias("g_grp"), F.col("lead.tag").alias("lead_tag"), F.col("lead.data").alias("lead_data"))
-            state = cut(state.join(leaders, F.col("grp") == F.col("g_grp"), "left").drop("g_grp").mapInArrow(partial(_settle, near), "grp long, tag long, data binary, label long"))
+            leaders = state.where("label IS NULL").groupBy("grp").agg(lead.alias("lead")).select(F.bitwise_not("grp").alias("g_not"), F.col("lead.tag").alias("lead_tag"), F.col("lead.data").alias("lead_data"))
+            led = state.join(leaders, F.bitwise_not("grp") == F.col("g_not"), "left").drop("g_not")  # dealt anew, so Spark can split at a large group
+            state = cut(led.mapInArrow(partial(_settle, near), "grp long, tag long, data binary, label long"))
         given = state.where("label <> tag").select(F.col("label").alias("a"), F.col("tag").alias("b"))
         free, label = F.col("label").isNull().alias("free"), F.coalesce("label", F.lit(0).cast("long")).alias("of")
         counts = state.groupBy("grp", free, label).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("blocks"))
-        counts = counts.select(*[F.col(c).alias(f"c_{c}") for c in ("grp", "free", "of")], "blocks")
-        same = (F.col("grp") == F.col("c_grp")) & (F.col("free") == F.col("c_free")) & (F.col("of") == F.col("c_of"))
+        counts = counts.select(F.bitwise_not("grp").alias("c_not"), *[F.col(c).alias(f"c_{c}") for c in ("free", "of")], "blocks")
+        same = (F.bitwise_not("grp") == F.col("c_not")) & (F.col("free") == F.col("c_free")) & (F.col("of") == F.col("c_of"))
         placed = state.withColumns({"free": free, "of": label}).join(counts, same).withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")))
         placed = placed.select("grp", "tag", "data", "label", F.struct("free", "of", "block").alias("part"))
         parts = placed.select("grp", "part").distinct()
