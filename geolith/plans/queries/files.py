@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -73,20 +74,15 @@ for _fmt in ("wkt", "wkb"):
 def kml_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders of folders: regions hold nations, and the tree survives."""
     path = f"{scratch(spark, 'kml')}/layers.kml"
-    c = fx.customer_points(spark, sf_dir).join(fx.nations(spark, sf_dir), "n")
-    order = F.array(F.dense_rank().over(_by("r_name")) - 1, F.col("n").cast("int"))
+    placed = fx.nations(spark, sf_dir).withColumn("place", F.expr("dense_rank() OVER (ORDER BY r_name) - 1"))  # a row per nation
+    c = fx.customer_points(spark, sf_dir).join(placed, "n")
+    order = F.array(F.col("place").cast("int"), F.col("n").cast("int"))
     rows = c.select(F.array("r_name", "n_name").alias("layer_path"), order.alias("layer_ord"), F.col("k").alias("seq"), model.point(model.position(F.col("lon"), F.col("lat"))).alias("geom"))
     write_files(rows, path, "kml")
     back = read_files(spark, path, "kml").select(F.col("layer_path")[0].alias("r_name"), F.col("layer_path")[1].alias("n_name"))
     return back.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _by(c: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(c)  # names of regions: a handful of rows would do, and the file is one document anyway
-
-
 @query(f"WITH {fx.SQUARES} SELECT brand, count(*) AS n, min(x) AS minx, max(x + side) AS maxx FROM sq WHERE x + side > 0 AND x < 90 AND y + side > -45 AND y < 45 GROUP BY 1")
 def geoparquet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A GeoParquet table with extent columns: the window reaches the scan as pushed filters, and geometry is never decoded."""
@@ -127,7 +123,7 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet" if path.endswith(".parquet") else path)
-    name, folder = "geolith_stream_counts", scratch(spark, "stream")
+    name, folder = f"geolith_stream_counts_{uuid.uuid4().hex}", scratch(spark, "stream")
     counts = streaming.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour", "3650 days")
     q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -6,12 +6,15 @@ import functools
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .errors import GeoError
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, as Spark does for --py-files."""
@@ -38,17 +41,24 @@ def shipped(f: Callable) -> Callable:
     return run
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate files: below the shared folder that ``spark.checkpoint.dir`` names, else (tests) a local one."""
-    import uuid
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only a local session may have none and gets one of this machine: on a cluster others could not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise GeoError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="geolith-shared-")
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geolith-scratch-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate files, below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df):
     """df written to the checkpoint folder and read from there: its partitions stay as they are, whoever is lost."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geolith-checkpoint-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -69,13 +69,16 @@ def _stem(path: str) -> str:
     return posixpath.splitext(posixpath.basename(path))[0]
 
 
+def _shapefiles(path: str) -> str:
+    base = path if not path.lower().endswith(".shp") else path[:-4]
+    return f"{base.rstrip('/')}/*.{{shp,dbf,cpg,SHP,DBF,CPG}}" if base == path else f"{base}.{{shp,dbf,cpg,SHP,DBF,CPG}}"
+
+
 def _contents(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """path, parts: the files that make up each source, by extension."""
     if fmt != "shapefile":
         return spark.read.format("binaryFile").load(path).select("path", F.create_map(F.lit(fmt), F.col("content")).alias("parts"))
-    base = path if not path.lower().endswith(".shp") else path[:-4]
-    glob = f"{base.rstrip('/')}/*.{{shp,dbf,cpg,SHP,DBF,CPG}}" if base == path else f"{base}.{{shp,dbf,cpg,SHP,DBF,CPG}}"
-    files = spark.read.format("binaryFile").load(glob)
+    files = spark.read.format("binaryFile").load(_shapefiles(path))
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     named = files.select(F.regexp_replace("path", r"\.[^.]*$", "").alias("base"), F.struct(ext.alias("k"), F.col("content").alias("v")).alias("part"))
     grouped = named.groupBy("base").agg(F.map_from_entries(F.collect_list("part")).alias("parts"))
@@ -135,7 +138,8 @@ def read_files(spark: SparkSession, path: str, fmt: str | None = None, mode: str
     """
     found = _parsed(spark, path, fmt, model.FEATURE, whole_rows, mode, compat_deleted_shift)
     if (fmt or detect(path)) == "shapefile" and not path.lower().endswith(".shp"):
-        names = found.select("source_file").distinct().withColumn("_i", F.expr("row_number() OVER (ORDER BY source_file) - 1").cast("int"))  # a row per file
+        listed = spark.read.format("binaryFile").load(_shapefiles(path)).select("path").where("lower(path) LIKE '%.shp'")  # lists; contents are not read
+        names = listed.select(F.regexp_replace("path", r"\.[^.]*$", ".shp").alias("source_file")).withColumn("_i", F.expr("row_number() OVER (ORDER BY source_file) - 1").cast("int"))  # a row per file
         found = found.join(F.broadcast(names), "source_file").withColumn("layer_ord", F.concat(F.array("_i"), F.coalesce("layer_ord", F.array().cast("array<int>")))).drop("_i")
     return found
 

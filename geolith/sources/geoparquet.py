@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +18,20 @@ from ..session import ship
 
 
 def footer(spark: SparkSession, path: str) -> dict:
-    """The ``geo`` entry of one of the files, read from its last bytes by Spark."""
-    one = spark.read.format("binaryFile").load(path).where("lower(path) LIKE '%parquet'").select("content").limit(1)
-
-    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in b.column("content").to_pylist():
-                try:
-                    meta = pq.read_metadata(pa.BufferReader(c)).metadata or {}
-                except pa.ArrowInvalid as e:
-                    raise GeoError("not a Parquet file") from e
-                yield pa.RecordBatch.from_arrays([pa.array([meta.get(b"geo")], pa.binary())], ["geo"])
-
-    row = one.mapInArrow(head, "geo binary").first()
-    return geo_of({b"geo": bytes(row["geo"])} if row and row["geo"] is not None else None)
+    """The ``geo`` entry of one of the files. Parquet's own reader fetches the footer alone, whatever the size of the file."""
+    one = spark.read.format("binaryFile").load(path).where("lower(path) LIKE '%parquet'").select("path").first()  # lists; contents are not read
+    if one is None:
+        raise GeoError(f"no Parquet file in {path}")
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    try:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(one["path"]), conf))
+    except Py4JJavaError as e:
+        raise GeoError("not a Parquet file") from e
+    try:
+        geo = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("geo")
+    finally:
+        reader.close()
+    return geo_of(None if geo is None else {b"geo": geo.encode()})
 
 
 def read_geoparquet(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:

@@ -455,3 +455,25 @@ def test_label_rank_takes_every_label(spark, sf_dir):
     got = sorted(map(tuple, queries["label_rank"](spark, sf_dir).collect()))
     assert got == whole(sql["label_rank"])
     assert len(got) == 200 + 150
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from geolith.session import shared_root
+
+    session = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        assert shared_root(session(master, "hdfs:/shared/")) == "hdfs:/shared"
+        with pytest.raises(GeoError):
+            shared_root(session(master, None))
+    assert os.path.isdir(shared_root(session("local[8]", None)))
+
+
+def test_footer_errors(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_bytes(b"not so")
+    with pytest.raises(GeoError):
+        footer(spark, str(tmp_path / "bad.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "plain"))
+    with pytest.raises(GeoError):
+        footer(spark, str(tmp_path / "plain"))
