@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_root
+
 #: The characters that end a word: space and U+0009 to U+000D.
 WORD_BREAKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: The same as a regular expression of Java and DuckDB.
@@ -18,13 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names; a local session that names none (tests) gets its own, a cluster an error."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="geolith-checkpoint-"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_root(spark))
     return context.getCheckpointDir()
 
 
