@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,34 +21,39 @@ from .common import cut
 HELD = 1 << 20
 
 
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (u, v) and the smallest node that each reaches: roots hook to smaller ones, then paths are compressed."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return nodes, nodes[root]
+
+
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) -> (node, smallest node that the links held reach)."""
-    root: dict[int, int] = {}
+    """Links (u, v) -> (node, smallest node that the links held reach), in arrays: 16 bytes a link held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
 
-    def find(x: int) -> int:  # with path compression
-        top = x
-        while (up := root.setdefault(top, top)) != top:
-            top = up
-        while root[x] != top:
-            root[x], x = top, root[x]
-        return top
-
-    def stars() -> pa.RecordBatch:
-        pairs = [(x, find(x)) for x in list(root)]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
+    def stars() -> Iterator[pa.RecordBatch]:
+        nodes, root = _roots(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        moved = nodes != root
+        yield from pa.table([nodes[moved], root[moved]], ["u", "v"]).to_batches(max_chunksize=10_000)
 
     for b in batches:
-        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
-            u, v = find(u), find(v)
-            if u != v:
-                root[max(u, v)] = min(u, v)
+        held.append((b.column("u").to_numpy(), b.column("v").to_numpy()))
         n += b.num_rows
         if n >= HELD:
-            yield stars()
-            root, n = {}, 0
-    yield stars()
+            yield from stars()
+            held, n = [], 0
+    if held:
+        yield from stars()
 
 
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:

@@ -609,3 +609,23 @@ def test_components(spark, monkeypatch, held):
     got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     nodes = sorted({n for a, b in edges if a != b for n in (a, b)})
     assert got == {n: min(g) for g in _components(nodes, [e for e in edges if e[0] != e[1]]) for n in g}
+
+
+def test_contraction_reaches_the_smallest_node():
+    import numpy as np
+    import pyarrow as pa
+
+    from geolith.llm import graph
+
+    draw = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(draw.integers(1, 60))
+        u, v = draw.integers(-n, n, (2, int(draw.integers(0, 80))))
+        least = {int(x): int(x) for x in (*u, *v)}
+        for _ in range(2 * n):  # labels sink along links, one link at a time
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                least[a] = least[b] = min(least[a], least[b])
+        batch = pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        got = {(x["u"], x["v"]) for out in graph._contracted(iter([batch])) for x in out.to_pylist()}
+        assert got == {(x, y) for x, y in least.items() if x != y}
+    assert not list(graph._contracted(iter([])))
